@@ -38,35 +38,35 @@ def value_bucket(col: str, width: float) -> Column:
 def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                name: str = "rn") -> DataFrame:
     """Exact row number per key: rank inside the bucket plus the rows of earlier buckets."""
-    b = df.withColumn("_b", bucket)
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-               .withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-               .drop("_c"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
-    return (b.withColumn("_rn", F.row_number().over(inside))
-            .join(offsets, [*keys, "_b"])
-            .withColumn(name, (F.col("_rn") + F.col("_off")).cast("long"))
-            .drop("_rn", "_off", "_b"))
+    b = df.withColumn("__b", bucket)
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (b.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
+               .withColumn("__off", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+               .drop("__c"))
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order)
+    return (b.withColumn("__rn", F.row_number().over(inside))
+            .join(offsets, [*keys, "__b"])
+            .withColumn(name, (F.col("__rn") + F.col("__off")).cast("long"))
+            .drop("__rn", "__off", "__b"))
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
                bucket: Column, prev: str | None = "prev", nxt: str | None = "next") -> DataFrame:
     """Add the previous and next row of the key as structs of ``cols`` (null at the ends)."""
     payload = F.struct(*cols)
-    b = df.withColumn("_b", bucket)
-    w1 = Window.partitionBy(*keys, "_b").orderBy(*order)
-    b = b.withColumn("_p", F.lag(payload).over(w1)).withColumn("_n", F.lead(payload).over(w1))
+    b = df.withColumn("__b", bucket)
+    w1 = Window.partitionBy(*keys, "__b").orderBy(*order)
+    b = b.withColumn("__p", F.lag(payload).over(w1)).withColumn("__n", F.lead(payload).over(w1))
     # rows at a bucket edge travel to the per-key window, the others stay in their bucket
-    edge = F.col("_p").isNull() | F.col("_n").isNull()
-    b = b.withColumn("_g", F.when(~edge, F.col("_b")))
-    w2 = Window.partitionBy(*keys, "_g").orderBy(*order)
+    edge = F.col("__p").isNull() | F.col("__n").isNull()
+    b = b.withColumn("__g", F.when(~edge, F.col("__b")))
+    w2 = Window.partitionBy(*keys, "__g").orderBy(*order)
     out = b
     if prev:
-        out = out.withColumn(prev, F.coalesce("_p", F.lag(payload).over(w2)))
+        out = out.withColumn(prev, F.coalesce("__p", F.lag(payload).over(w2)))
     if nxt:
-        out = out.withColumn(nxt, F.coalesce("_n", F.lead(payload).over(w2)))
-    return out.drop("_b", "_p", "_n", "_g")
+        out = out.withColumn(nxt, F.coalesce("__n", F.lead(payload).over(w2)))
+    return out.drop("__b", "__p", "__n", "__g")
 
 
 def fill_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,

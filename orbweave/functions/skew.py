@@ -21,9 +21,9 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Seq
     (columns that differ between rows of a key); the per-key side is repeated once per part.
     """
     part = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    left = rows.withColumn("_part", part)
-    right = per_key.withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [*keys, "_part"], how).drop("_part")
+    left = rows.withColumn("__part", part)
+    right = per_key.withColumn("__part", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return left.join(right, [*keys, "__part"], how).drop("__part")
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> DataFrame:

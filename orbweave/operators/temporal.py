@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from orbweave.functions import ordered
 from orbweave.functions.skew import attach
@@ -105,7 +105,7 @@ def one_per_window(matched: DataFrame, window: Sequence[str], t: str, target: st
                    cols: Sequence[str]) -> DataFrame:
     """The matched event closest to the window's target time (earliest on ties)."""
     best = F.min_by(F.struct(t, *cols), F.struct(F.abs(F.col(t) - F.col(target)), t))
-    return (matched.filter(F.col(window[0]).isNotNull()).groupBy(*window)
+    return (matched.dropna(subset=list(window)).groupBy(*window)
             .agg(best.alias("_e"), F.count(F.lit(1)).alias("n_events"))
             .select(*window, "n_events", F.col(f"_e.{t}").alias(t),
                     *[F.col(f"_e.{c}").alias(c) for c in cols]))
@@ -166,10 +166,11 @@ def densest(values: DataFrame, keys: Sequence[str], value: str, tolerance: float
     d = (grain.withColumn("_home", home)
          .withColumn("_b", F.explode(F.array(F.col("_home") - 1, F.col("_home"),
                                              F.col("_home") + 1))))
-    w = (Window.partitionBy(*keys, "_b").orderBy("_v")
-         .rangeBetween(-tolerance, tolerance))
-    d = d.select(*keys, "_v", "_b", "_home", F.sum("_c").over(w).alias("_n"),
-                 (F.sum(F.col("_v") * F.col("_c")).over(w) / F.sum("_c").over(w)).alias("_m"))
+    frame = (f"(PARTITION BY {', '.join([*keys, '_b'])} ORDER BY _v RANGE BETWEEN "
+             f"{float(tolerance)}D PRECEDING AND {float(tolerance)}D FOLLOWING)")
+    d = d.select(*keys, "_v", "_b", "_home", F.expr(f"sum(_c) OVER {frame}").alias("_n"),
+                 F.expr(f"sum(_v * _c) OVER {frame}").alias("_s")) \
+        .withColumn("_m", F.col("_s") / F.col("_n"))
     best = F.max_by(F.struct("_m", "_n", "_v"), F.struct("_n", -F.col("_v")))
     return (d.filter(F.col("_b") == F.col("_home")).groupBy(*keys).agg(best.alias("_x"))
             .select(*keys, F.col("_x._m").alias("cluster_mean"), F.col("_x._n").alias("support"),
