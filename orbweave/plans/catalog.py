@@ -1,4 +1,5 @@
 """All registered queries; importing this module fills the registry."""
 
-from orbweave.plans import catalog_tracks, catalog_temporal, catalog_rim  # noqa: F401
+from orbweave.plans import (  # noqa: F401
+    catalog_tracks, catalog_temporal, catalog_rim, catalog_decide)
 from orbweave.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None, dp: dict[str, str] | None = None):
         QUERIES[name] = run
         if sql is not None:
             if digits:
-                rep = ", ".join(f'round("{c}", {n}) + 0.0 AS "{c}"' for c, n in digits.items())
+                rep = ", ".join(f'round(CAST("{c}" AS DOUBLE), {n}) + CAST(0 AS DOUBLE) AS "{c}"' for c, n in digits.items())
                 ORACLES[name] = f"SELECT * REPLACE ({rep}) FROM (\n{sql.strip()}\n) AS q"
             else:
                 ORACLES[name] = sql.strip()
