@@ -233,11 +233,12 @@ GOOD, BAD = ("TP", "TN"), ("FP", "FN")
 
 def flips(df: DataFrame, old: str, new: str) -> DataFrame:
     """Outcome changes between two variants: improved, regressed or neutral, counted."""
-    changed = df.filter(F.col(old) != F.col(new))
-    kind = (F.when(F.col(old).isin("FP", "FN", "UND") & F.col(new).isin(*GOOD), "improved")
-            .when(F.col(old).isin(*GOOD) & F.col(new).isin(*BAD), "regressed").otherwise("neutral"))
-    return changed.groupBy(F.col(old).alias("old_cat"), F.col(new).alias("new_cat"),
-                           kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    n = df.groupBy(F.col(old).alias("old_cat"), F.col(new).alias("new_cat")).agg(
+        F.count(F.lit(1)).alias("n")).filter(F.col("old_cat") != F.col("new_cat"))
+    kind = (F.when(F.col("old_cat").isin("FP", "FN", "UND") & F.col("new_cat").isin(*GOOD), "improved")
+            .when(F.col("old_cat").isin(*GOOD) & F.col("new_cat").isin(*BAD), "regressed")
+            .otherwise("neutral"))
+    return n.select("old_cat", "new_cat", kind.alias("kind"), "n")
 
 
 def quantile_compare(df: DataFrame, groups: Sequence[str], cols: Sequence[str],

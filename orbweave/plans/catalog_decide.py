@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import fixed as K, labels as L
 from orbweave.operators import decide as D, evaluate as E
+from orbweave.operators.selection import first_per_key
 from orbweave.plans.inputs import SCORED_CTE, VERDICTS_CTE, scored, verdicts
 from orbweave.plans.registry import query, table
 
@@ -123,7 +124,7 @@ def _(s, d):
 
 
 def _tiers(s, d):
-    v = verdicts(s, d)
+    v = first_per_key(verdicts(s, d), ["name_id"], [F.col("v1"), F.col("v2"), F.col("gt"), F.col("nr")])
     first = v.select("name_id", "gt", F.col("v2").alias("verdict"))
     rerun = v.select("name_id", F.col("v1").alias("rerun"))
     cams = v.select("name_id", "fr", "nr")
@@ -135,8 +136,10 @@ def _tiers(s, d):
 
 
 TIER_HEAD = VERDICTS_CTE + f""",
+vone AS (SELECT * FROM verdicts QUALIFY row_number() OVER (PARTITION BY name_id
+  ORDER BY v1, v2, gt, nr) = 1),
 t2 AS (SELECT *, CASE WHEN v2 LIKE 'UNDECIDED%' AND ({CONF_SQL}) THEN v1 ELSE v2 END AS x2,
-  CASE WHEN v2 LIKE 'UNDECIDED%' AND ({CONF_SQL}) THEN 'L2-und-rerun' ELSE 'tri' END AS y2 FROM verdicts),
+  CASE WHEN v2 LIKE 'UNDECIDED%' AND ({CONF_SQL}) THEN 'L2-und-rerun' ELSE 'tri' END AS y2 FROM vone),
 t3 AS (SELECT *, CASE WHEN x2 LIKE 'UNDECIDED%' AND {FILL_SQL} IS NOT NULL THEN {FILL_SQL} || ' (ENSEMBLE)'
   ELSE x2 END AS x3, CASE WHEN x2 LIKE 'UNDECIDED%' AND {FILL_SQL} IS NOT NULL THEN 'L3-ensemble'
   ELSE y2 END AS y3 FROM t2)"""
@@ -163,9 +166,11 @@ def _(s, d):
 @query("first_decided_source", f"""WITH {VERDICTS_CTE}
 SELECT name_id, CASE WHEN v2 NOT LIKE 'UNDECIDED%' THEN v2 WHEN v1 NOT LIKE 'UNDECIDED%' THEN v1
  ELSE 'UNDECIDED' END AS verdict, CASE WHEN v2 NOT LIKE 'UNDECIDED%' THEN 1
- WHEN v1 NOT LIKE 'UNDECIDED%' THEN 2 END AS source FROM verdicts""")
+ WHEN v1 NOT LIKE 'UNDECIDED%' THEN 2 END AS source FROM verdicts
+QUALIFY row_number() OVER (PARTITION BY name_id ORDER BY v1, v2, gt, nr) = 1""")
 def _(s, d):
     v = verdicts(s, d)
+    v = first_per_key(v, ["name_id"], [F.col("v1"), F.col("v2"), F.col("gt"), F.col("nr")])
     cand = v.select("name_id", F.lit(1).alias("priority"), F.col("v2").alias("verdict")).unionByName(
         v.select("name_id", F.lit(2).alias("priority"), F.col("v1").alias("verdict")))
     return D.first_decided(cand, ["name_id"])
