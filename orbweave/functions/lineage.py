@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
+def checkpoint_dir(spark) -> str | None:
+    """The shared folder the session names; a temporary one only in local mode, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.master.startswith("local"):
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+    if named:
+        sc.setCheckpointDir(named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the cluster's shared folder when one is configured.
+    """Checkpoint an intermediate that several steps read, so it is computed once.
 
-    Survives the loss of executors, unlike a local checkpoint.  Without a configured folder the
-    plan is left whole and Spark recomputes or reuses exchanges as it sees fit.
+    The files live in the shared folder, so a lost executor costs a re-read and nothing else.  On
+    a cluster without a configured folder the plan is left whole.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return df.checkpoint()
-    return df
+    return df.checkpoint() if checkpoint_dir(df.sparkSession) else df

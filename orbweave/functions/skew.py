@@ -44,3 +44,13 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def or_default(col: Column | str, default) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(c, F.lit(default))
+
+
+def grouped(df: DataFrame, keys: Sequence[str]):
+    """Grouping for a Python group function, spread over the session's shuffle partitions.
+
+    Python time per row is far above its bytes, so partitions must not be merged by size; an
+    explicit partition count is left alone by adaptive coalescing and serves the grouping as is.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).groupBy(*keys)

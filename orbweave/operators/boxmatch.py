@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from orbweave.functions import boxes as B
+from orbweave.functions.skew import grouped
 from orbweave.operators.evaluate import ratio
 
 
@@ -51,7 +52,7 @@ def match_boxes(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Only overlapping pairs of one image and class form a group.
     """
-    return pairs.groupBy(*keys).applyInPandas(_greedy(list(keys)), pairs.schema)
+    return grouped(pairs, [*keys]).applyInPandas(_greedy(list(keys)), pairs.schema)
 
 
 def detector_scores(truth: DataFrame, preds: DataFrame, matched: DataFrame, cls: str) -> DataFrame:

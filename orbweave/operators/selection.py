@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orbweave.functions.skew import attach
+from orbweave.functions.skew import attach, grouped
 
 
 def best_by_confidence(boxes: DataFrame, keys: Sequence[str], conf: str = "conf",
@@ -58,3 +58,33 @@ def span_tracks(points: DataFrame, keys: Sequence[str], track: str, share: float
     j = attach(span, best, keys, [track], "inner")
     keep = (F.col("_best") < min_span) | (long >= F.lit(share) * F.col("_best"))
     return j.filter(F.col("_best").isNotNull() & keep).select(*keys, track)
+
+
+def _chain(max_step):
+    def run(pdf):
+        import numpy as np
+        picks, at = [], None
+        for _, frame in pdf.sort_values(["frame_idx", "box_id"]).groupby("frame_idx", sort=True):
+            if at is None:
+                pool = frame[frame["preferred"]] if frame["preferred"].any() else frame
+                row = pool.loc[pool["conf"].idxmax()]
+            else:
+                step = np.hypot(frame["cx"] - at[0], frame["cy"] - at[1])
+                if step.min() > max_step:
+                    continue
+                row = frame.loc[step.idxmin()]
+            at = (row["cx"], row["cy"])
+            picks.append(row.name)
+        return pdf.loc[picks]
+    return run
+
+
+def continuity_picks(boxes: DataFrame, keys: Sequence[str], max_step: float = 300.0) -> DataFrame:
+    """One box per frame that continues the previous pick; none further than ``max_step``.
+
+    The first pick is the most confident preferred box.  Each pick depends on the one before, so
+    a key is one group; keys are single clip windows (camera and play) of a few hundred frames.
+    ``boxes``: keys, frame_idx, box_id, cx, cy, conf, preferred.
+    """
+    src = boxes.select(*keys, "frame_idx", "box_id", "cx", "cy", "conf", "preferred")
+    return grouped(src, [*keys]).applyInPandas(_chain(max_step), src.schema)

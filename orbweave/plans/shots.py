@@ -25,3 +25,31 @@ def rule_predictions(tracks: DataFrame) -> DataFrame:
 
 def rule_eval(tracks: DataFrame) -> DataFrame:
     return E.metrics_by_group(rule_predictions(tracks))
+
+
+def arbiter(samples: DataFrame, first: DataFrame, hires: DataFrame) -> DataFrame:
+    """Chosen trajectory verdict (second pass first), source agreement and confidence cues."""
+    from orbweave.operators import trajectory as H
+    keys = list(H.SHOT)
+    cols = [c for c in hires.columns if c not in keys]
+    j = hires.select(*keys, F.struct(*cols).alias("hr")).join(
+        first.select(*keys, F.struct(*cols).alias("l1")), keys, "full")
+    ok_hr, ok_l1 = F.col("hr.n_samples") >= 3, F.col("l1.n_samples") >= 3
+    pick = (F.when(ok_hr & (F.col("hr.verdict_class") != "UND"), F.col("hr"))
+            .when(ok_l1 & (F.col("l1.verdict_class") != "UND"), F.col("l1"))
+            .when(ok_hr, F.col("hr")).when(ok_l1, F.col("l1")))
+
+    def pair(a, b):
+        return F.coalesce((F.col("l1.verdict_class") == a) & (F.col("hr.verdict_class") == b), F.lit(False))
+    j = j.select(*keys, pick.alias("v"), pair("MISS", "MISS").alias("src_agree_miss"),
+                 (pair("MISS", "MAKE") | pair("MAKE", "MISS")).alias("src_conflict"),
+                 F.coalesce("l1.n_samples", F.lit(0)).alias("n_l1"),
+                 F.coalesce("hr.n_samples", F.lit(0)).alias("n_hr"),
+                 F.coalesce(ok_hr, F.lit(False)).alias("hr_available"))
+    num = ("y_off_stop", "cross_r", "cross_y", "z_min", "bounce_cm", "n_post")
+    j = j.select(*[c for c in j.columns if c != "v"],
+                 F.coalesce("v.verdict_class", F.lit("UND")).alias("tri_verdict"),
+                 F.coalesce("v.rule", F.lit("undecided")).alias("tri_rule"),
+                 F.coalesce("v.nr_rebound", F.lit(False)).alias("nr_rebound"),
+                 *[F.coalesce(F.col(f"v.{c}"), F.lit(-1)).alias(c) for c in num])
+    return j.join(H.descent_stats(samples), keys, "left")
