@@ -21,3 +21,50 @@ def spot_scores(events: DataFrame, windows: DataFrame, keys: Sequence[str], t: s
     return j.select(*keys, "n_gt", "n_ev", ratio(F.col("_h"), F.col("n_gt")).alias("recall"),
                     ratio(F.col("_m"), F.col("n_ev")).alias("precision"),
                     (F.col("n_ev") - F.col("_m")).alias("n_false"))
+
+
+# --- fixed values: the swept configuration grid (108 settings) ---
+SWEEP = {"stride": (1, 2, 3), "zone": (1.2, 1.8, 2.5), "gap": (2.0,), "min_hits": (1, 2),
+         "reach": (None, 0.6, 0.8), "downward": (False, True)}
+
+
+def _options(df: DataFrame, name: str, values, kind: str) -> DataFrame:
+    return df.withColumn(name, F.explode(F.array(*[F.lit(v).cast(kind) for v in values])))
+
+
+def config_sweep(balls: DataFrame, windows: DataFrame, keys: Sequence[str], bucket, width: float,
+                 grid: dict = SWEEP) -> DataFrame:
+    """Recall, precision and false events of every spotter configuration, averaged over keys.
+
+    ``balls``: keys, step (frame number), t, need (zone height that just contains the ball), dist, y;
+    ``windows``: keys, lo, hi.  Stride and zone change the hits; the other three settings are
+    applied to the finished events, so rows are multiplied by 9 and only events by 12.
+    """
+    from orbweave.operators.temporal import events_from_hits
+    b = _options(_options(balls, "stride", grid["stride"], "int"), "zone", grid["zone"], "double")
+    b = b.filter((F.col("step") % F.col("stride") == 0) & (F.col("need") <= F.col("zone")))
+    k = [*keys, "stride", "zone"]
+    hits = b.groupBy(*k, "t").agg(F.min_by(F.struct("dist", "y"), F.struct("dist", "y")).alias("h")) \
+        .select(*k, "t", "h.dist", "h.y")
+    ev = events_from_hits(hits, k, "t", grid["gap"][0], bucket("t"), y="y", min_hits=1)
+    for name, kind in (("min_hits", "int"), ("reach", "double"), ("downward", "boolean")):
+        ev = _options(ev, name, grid[name], kind)
+    ev = ev.filter((F.col("n_hits") >= F.col("min_hits"))
+                   & (F.col("reach").isNull() | (F.col("min_dist") <= F.col("reach") * width))
+                   & (~F.col("downward") | F.col("descends")))
+    cfg = ["stride", "zone", "min_hits", "reach", "downward"]
+    w = windows.select(*keys, "lo", "hi")
+    for name, kind in (("stride", "int"), ("zone", "double"), ("min_hits", "int"), ("reach", "double"),
+                       ("downward", "boolean")):
+        w = _options(w, name, grid[name], kind)
+    # an absent reach limit is a setting of its own, so it takes part in the key as -1
+    ev, w = ev.fillna(-1.0, ["reach"]), w.fillna(-1.0, ["reach"])
+    s = spot_scores(ev.select(*keys, *cfg, "event_t"), w, [*keys, *cfg], "event_t", "lo", "hi", bucket)
+    return s.groupBy(*cfg).agg(F.avg("recall").alias("recall"), F.avg("precision").alias("precision"),
+                               F.sum("n_false").alias("n_false"), F.sum("n_ev").alias("n_ev"))
+
+
+def rank_configs(sweep: DataFrame, top: int = 12) -> DataFrame:
+    """Best configurations: recall, then precision, then fewest false events."""
+    return sweep.orderBy(F.col("recall").desc(), F.col("precision").desc(), "n_false", "stride", "zone",
+                         "min_hits", "reach", "downward").limit(top)

@@ -477,3 +477,57 @@ def _(s, d):
         (F.col("o_custkey") % 3).alias("fam"), "o_orderkey")
     return S.stratified_pick(o, ["g"], ["st", "fam"], ["o_orderkey"],
                              ordered.value_bucket("o_orderkey", 100_000))
+
+
+SWEEP_SQL = HITS_CTE + """,
+b AS (SELECT user_id, event_id, t, value / 40 AS need, value AS dist, (event_id * 31) % 101 AS y FROM ev
+  WHERE event_type <> 'purchase'),
+h0 AS (SELECT user_id, CAST(stride AS INTEGER) AS stride, zone, t, dist, y FROM b,
+  (SELECT unnest([1,2,3]) AS stride) s, (SELECT unnest([1.2,1.8,2.5]::DOUBLE[]) AS zone) z
+  WHERE event_id % stride = 0 AND need <= zone QUALIFY row_number() OVER (PARTITION BY user_id, stride,
+  zone, t ORDER BY dist, y) = 1),
+o AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > 7200 THEN 1 ELSE 0 END AS nw FROM h0
+  WINDOW w AS (PARTITION BY user_id, stride, zone ORDER BY t)),
+c AS (SELECT *, sum(nw) OVER (PARTITION BY user_id, stride, zone ORDER BY t) AS cid FROM o),
+e0 AS (SELECT user_id, stride, zone, count(*) AS n, min(t) AS tf, arg_min(t,(dist,t)) AS event_t,
+  min(dist) AS md, arg_min(y,t) AS ys, arg_min(y,(dist,t)) AS ye FROM c GROUP BY user_id, stride, zone, cid),
+ops AS (SELECT CAST(min_hits AS INTEGER) AS min_hits, reach, downward FROM (SELECT unnest([1,2]) AS min_hits) a,
+  (SELECT unnest([-1,0.6,0.8]::DOUBLE[]) AS reach) r, (SELECT unnest([false,true]) AS downward) d),
+e1 AS (SELECT e0.*, min_hits, reach, downward FROM e0, ops WHERE n >= min_hits AND (reach < 0 OR
+  md <= reach * 40) AND (NOT downward OR event_t = tf OR ye >= ys)),
+wx AS (SELECT w.user_id, win_id, lo, hi, CAST(stride AS INTEGER) AS stride, zone, ops.* FROM wins w,
+  (SELECT unnest([1,2,3]) AS stride) s, (SELECT unnest([1.2,1.8,2.5]::DOUBLE[]) AS zone) z, ops),
+wh AS (SELECT wx.user_id, wx.stride, wx.zone, wx.min_hits, wx.reach, wx.downward, count(*) AS n_gt,
+  sum(CASE WHEN x.win_id IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM wx LEFT JOIN (SELECT DISTINCT w.win_id,
+   w.stride, w.zone, w.min_hits, w.reach, w.downward FROM wx w JOIN e1 ON w.user_id=e1.user_id AND
+   w.stride=e1.stride AND w.zone=e1.zone AND w.min_hits=e1.min_hits AND w.reach=e1.reach AND
+   w.downward=e1.downward AND event_t BETWEEN lo AND hi) x ON wx.win_id=x.win_id AND wx.stride=x.stride AND
+  wx.zone=x.zone AND wx.min_hits=x.min_hits AND wx.reach=x.reach AND wx.downward=x.downward GROUP BY ALL),
+eh AS (SELECT e1.user_id, e1.stride, e1.zone, e1.min_hits, e1.reach, e1.downward, count(*) AS n_ev,
+  sum(CASE WHEN EXISTS (SELECT 1 FROM wins w WHERE w.user_id=e1.user_id AND e1.event_t BETWEEN w.lo AND w.hi)
+  THEN 1 ELSE 0 END) AS ok FROM e1 GROUP BY ALL)
+"""
+
+
+@query("spotter_sweep", f"""WITH {SWEEP_SQL}
+SELECT stride, zone, min_hits, reach, downward, avg(CAST(hit AS DOUBLE)/n_gt) AS recall,
+ avg(CASE WHEN n_ev > 0 THEN CAST(ok AS DOUBLE)/n_ev ELSE 0 END) AS precision,
+ CAST(sum(coalesce(n_ev-ok,0)) AS BIGINT) AS n_false, CAST(sum(coalesce(n_ev,0)) AS BIGINT) AS n_ev
+FROM wh LEFT JOIN eh USING (user_id, stride, zone, min_hits, reach, downward) GROUP BY ALL""",
+       {6: "recall precision"})
+def _(s, d):
+    from orbweave.operators.spotting import SWEEP, config_sweep
+    e = ev(s, d).filter("event_type <> 'purchase'")
+    balls = e.select("user_id", F.col("event_id").alias("step"), "t", (F.col("value") / 40).alias("need"),
+                     F.col("value").alias("dist"), ((F.col("event_id") * 31) % 101).alias("y"))
+    return config_sweep(balls, wins(s, d), ["user_id"], day, 40.0, {**SWEEP, "gap": (7200,)})
+
+
+@query("spotter_sweep_top")
+def _(s, d):
+    """The twelve best spotter configurations."""
+    from orbweave.operators.spotting import SWEEP, config_sweep, rank_configs
+    e = ev(s, d).filter("event_type <> 'purchase'")
+    balls = e.select("user_id", F.col("event_id").alias("step"), "t", (F.col("value") / 40).alias("need"),
+                     F.col("value").alias("dist"), ((F.col("event_id") * 31) % 101).alias("y"))
+    return rank_configs(config_sweep(balls, wins(s, d), ["user_id"], day, 40.0, {**SWEEP, "gap": (7200,)}))
