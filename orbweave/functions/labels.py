@@ -54,7 +54,7 @@ def verdict_rule(v="verdict") -> Column:
 
 def number_in(v, pattern: str) -> Column:
     """First capture of ``pattern`` as a double; null when the text has no match."""
-    return F.when(c(v).rlike(pattern), F.regexp_extract(c(v), pattern, 1).cast("double"))
+    return F.regexp_extract(c(v), pattern, 1).try_cast("double")
 
 
 def rerun_is_confident(v="verdict") -> Column:

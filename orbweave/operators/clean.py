@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from orbweave.functions import boxes as B, ordered
@@ -49,14 +49,18 @@ def _smooth_axes(z: np.ndarray) -> np.ndarray:
     return out[:, :, 0]
 
 
-def _smooth_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("frame_idx")
-    z = pdf[["zx", "zy"]].to_numpy(dtype=float)
-    if np.isnan(z[:, 0]).all():
-        s = np.full(z.shape, np.nan)
-    else:
-        s = _smooth_axes(z)
-    return pdf.assign(sx=s[:, 0], sy=s[:, 1])[pdf["_own"].to_numpy()]
+def _with_columns(t: pa.Table, **cols) -> pa.Table:
+    """Append columns (NaN becomes null) and keep the rows the part owns."""
+    for name, values in cols.items():
+        t = t.append_column(name, pa.array(values, from_pandas=True))
+    return t.filter(t["_own"])
+
+
+def _smooth_group(t: pa.Table) -> pa.Table:
+    t = t.sort_by("frame_idx")
+    z = np.column_stack([t["zx"].to_numpy(), t["zy"].to_numpy()]).astype(float)
+    s = np.full(z.shape, np.nan) if np.isnan(z[:, 0]).all() else _smooth_axes(z)
+    return _with_columns(t, sx=s[:, 0], sy=s[:, 1])
 
 
 def clean_tracks(tracks: DataFrame, keys: Sequence[str] = T.TRACK) -> DataFrame:
@@ -74,11 +78,11 @@ def clean_tracks(tracks: DataFrame, keys: Sequence[str] = T.TRACK) -> DataFrame:
     r = r.withColumn("zx", F.when(kept, F.col("raw_cx"))).withColumn("zy", F.when(kept, F.col("raw_cy")))
     h = ordered.with_halo(r, "frame_idx", PART, HALO)
     typed = ", ".join(f"{n} {t}" for n, t in h.dtypes) + ", sx double, sy double"
-    s = grouped(h, [*keys, "_part"]).applyInPandas(_smooth_group, typed)
+    s = grouped(h, [*keys, "_part"]).applyInArrow(_smooth_group, typed)
     show = kept | F.col("trusted")
     return s.select(*keys, "frame_idx", "rejected", "trusted", "ball_x", "ball_conf", "rim_w", "raw_cx",
-                    "raw_cy", F.when(show, F.nanvl("sx", F.lit(None))).alias("cx"),
-                    F.when(show, F.nanvl("sy", F.lit(None))).alias("cy"),
+                    "raw_cy", F.when(show, F.col("sx")).alias("cx"),
+                    F.when(show, F.col("sy")).alias("cy"),
                     (F.col("trusted") & F.col("sx").isNotNull()).cast("int").alias("imputed"))
 
 
@@ -125,13 +129,14 @@ def cleaning_summary(clean: DataFrame) -> DataFrame:
 GATE, MEASURE_PX, ACCEL_PX, BRIDGE_S = 4.0, 6.0, 1500.0, 0.25
 
 
-def _cv_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("frame_idx")
-    t = pdf["t"].to_numpy(float)
-    z = pdf[["px", "py"]].to_numpy(float)
+def _cv_group(tab: pa.Table) -> pa.Table:
+    tab = tab.sort_by("frame_idx")
+    t = tab["t"].to_numpy().astype(float)
+    z = np.column_stack([tab["px"].to_numpy(), tab["py"].to_numpy()]).astype(float)
     n, has = len(t), ~np.isnan(z[:, 0])
     if not has.any():
-        return pdf.assign(sx=np.nan, sy=np.nan, sigma=np.inf, observed=False)[pdf["_own"].to_numpy()]
+        none = np.full(n, np.nan)
+        return _with_columns(tab, sx=none, sy=none, sigma=np.full(n, np.inf), observed=np.zeros(n, bool))
     eye = np.eye(2)
     first = int(np.argmax(has))
     # per axis state (position, velocity); both axes share covariance, so one 2x2 matrix serves
@@ -163,7 +168,7 @@ def _cv_group(pdf: pd.DataFrame) -> pd.DataFrame:
     sigma = np.sqrt(np.maximum(sc[:, 0, 0], 0.0))
     near = np.abs(t[:, None] - t[has][None, :]).min(1)
     sigma[(near > BRIDGE_S) & ~seen] = np.inf
-    return pdf.assign(sx=sm[:, 0, 0], sy=sm[:, 0, 1], sigma=sigma, observed=seen)[pdf["_own"].to_numpy()]
+    return _with_columns(tab, sx=sm[:, 0, 0], sy=sm[:, 0, 1], sigma=sigma, observed=seen)
 
 
 def smooth_velocity(rows: DataFrame, keys: Sequence[str] = T.TRACK) -> DataFrame:
@@ -174,5 +179,5 @@ def smooth_velocity(rows: DataFrame, keys: Sequence[str] = T.TRACK) -> DataFrame
     h = ordered.with_halo(rows.select(*keys, "frame_idx", "t", "px", "py"), "frame_idx", PART, HALO)
     typed = ", ".join(f"{n} {t}" for n, t in h.dtypes) + ", sx double, sy double, sigma double, " \
         "observed boolean"
-    s = grouped(h, [*keys, "_part"]).applyInPandas(_cv_group, typed)
+    s = grouped(h, [*keys, "_part"]).applyInArrow(_cv_group, typed)
     return s.drop("_part", "_own")

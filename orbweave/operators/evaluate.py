@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -101,7 +102,7 @@ def auc(df: DataFrame, groups: Sequence[str] = (), score="prob", label="label")
 def grid(start: float, stop: float, step: float) -> list[float]:
     """start + i*step below stop, computed the way numpy's arange does."""
     delta = (start + step) - start
-    n = int(-((stop - start) // -step))
+    n = math.ceil((stop - start) / step)
     return [start + i * delta for i in range(n)]
 
 

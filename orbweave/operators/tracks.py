@@ -72,12 +72,15 @@ def detections(tracks: DataFrame, ref: DataFrame | None = None,
             .withColumn("near", F.col("dist") <= K.NEAR_RIM_RW))
 
 
+def linked(det: DataFrame, keys: Sequence[str] = TRACK) -> DataFrame:
+    """Detected rows with their previous and next row, split by frame bucket."""
+    return ordered.neighbours(det, keys, ["frame_idx"], ["cx", "cy", "conf", "above", "level", "near"],
+                              ordered.frame_bucket())
+
+
 def numbered(det: DataFrame, keys: Sequence[str] = TRACK) -> DataFrame:
-    """Detected rows with their row number and neighbours, split by frame bucket."""
-    b = ordered.frame_bucket()
-    n = ordered.row_number(det, keys, ["frame_idx"], b, "rn")
-    return ordered.neighbours(n, keys, ["frame_idx"], ["cx", "cy", "conf", "above", "level",
-                                                       "near"], b)
+    """``linked`` rows that also carry their row number, for windows around a row."""
+    return linked(ordered.row_number(det, keys, ["frame_idx"], ordered.frame_bucket(), "rn"), keys)
 
 
 def closest(det: DataFrame, keys: Sequence[str] = TRACK) -> DataFrame:

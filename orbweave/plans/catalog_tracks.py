@@ -90,7 +90,7 @@ SELECT {K3}, CAST(sum(CASE WHEN x THEN 1 ELSE 0 END) AS BIGINT) AS through_hoop_
   CASE WHEN sum(CASE WHEN x THEN 1 ELSE 0 END) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
     AS through_hoop FROM c GROUP BY {K3}""", {6: "through_hoop_conf"})
 def _(s, d):
-    return T.plane_crossings(T.numbered(T.detections(tracks(s, d))))
+    return T.plane_crossings(T.linked(T.detections(tracks(s, d))))
 
 
 @query("direction_flip", f"""WITH {DET_CTE},
@@ -102,7 +102,7 @@ SELECT n.game_id, n.play_id, n.angle,
   CASE WHEN nn >= 3 AND flip = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS vy_sign_change_near_rim
 FROM n LEFT JOIN f ON n.game_id = f.game_id AND n.play_id = f.play_id AND n.angle = f.angle""")
 def _(s, d):
-    return T.direction_flip(T.numbered(T.detections(tracks(s, d))))
+    return T.direction_flip(T.linked(T.detections(tracks(s, d))))
 
 
 @query("jitter", f"""WITH {TRACKS_CTE},

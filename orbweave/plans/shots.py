@@ -10,7 +10,7 @@ from orbweave.operators import evaluate as E, tracks as T
 
 def rule_predictions(tracks: DataFrame) -> DataFrame:
     """Make when some usable camera saw the ball within 1.5 widths and some saw it drop through."""
-    det = T.numbered(T.detections(tracks))
+    det = T.linked(T.detections(tracks))
     # one aggregation gives each shot its best distance and crossing over all cameras
     seen = det.groupBy(*T.SHOT).agg(
         F.min("dist").alias("min_dist_rw_best"),
