@@ -403,7 +403,7 @@ q AS (SELECT {K3}, avg(CASE WHEN kept THEN 1.0 ELSE 0.0 END) AS cov,
   coalesce(avg(CASE WHEN kept THEN ball_conf END), 0) AS mc, max(CASE WHEN rim_w > 1 THEN 1 ELSE 0 END)
   AS rul, sum(CASE WHEN kept THEN 1 ELSE 0 END) AS k FROM gap GROUP BY {K3})
 SELECT {K3}, CASE WHEN rul = 1 AND k > 0 THEN least(1, greatest(0, (0.6*cov + 0.4*mc)*(1 - 0.5*imp)))
-  ELSE 0 END AS track_quality FROM q""", {6: "track_quality"})
+  ELSE 0 END AS track_quality FROM q""", {8: "track_quality"})
 def _(s, d):
     return S.track_quality(_gaps(s, d))
 
@@ -420,12 +420,12 @@ def _(s, d):
 
 
 @query("running_reference", f"""WITH {TRACKS_CTE},
-v AS (SELECT {K3}, frame_idx, coalesce(ball_x, 7.0) / 3 AS x FROM tracks)
+v AS (SELECT {K3}, frame_idx, sqrt(coalesce(ball_x, 7.0)) AS x FROM tracks)
 SELECT {K3}, frame_idx, sum(CASE WHEN frame_idx = 1 THEN x ELSE (1 - 0.95) * x END
   * pow(0.95, -frame_idx)) OVER (PARTITION BY {K3} ORDER BY frame_idx) * pow(0.95, frame_idx) AS ema
 FROM v""", {6: "ema"})
 def _(s, d):
-    r = tracks(s, d).select(*T.TRACK, "frame_idx", (F.coalesce("ball_x", F.lit(7.0)) / 3).alias("x"))
+    r = tracks(s, d).select(*T.TRACK, "frame_idx", F.sqrt(F.coalesce("ball_x", F.lit(7.0))).alias("x"))
     return S.running_reference(r, "x", T.TRACK, "frame_idx").drop("x")
 
 
