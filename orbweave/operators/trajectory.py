@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from orbweave.functions import boxes as B, fixed as K, ordered
@@ -100,9 +102,9 @@ def _ransac_group(keys, n_iter, inlier_cm, seed):
         gap = start[..., None, :] + slope[..., None, :] * t[:, None] - lifted
         return np.sqrt((gap * gap).sum(-1))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        t, p = pdf["t"].to_numpy(float), pdf[["x", "y", "z"]].to_numpy(float)
+    def run(tab: pa.Table) -> pa.Table:
+        tab = tab.sort_by("frame")
+        t, p = tab["t"].to_numpy(), np.column_stack([tab[c].to_numpy() for c in "xyz"])
         n, lifted = len(t), p + drop * (t * t)[:, None]
         keep = use = np.arange(n)
         if n >= 4:
@@ -113,11 +115,11 @@ def _ransac_group(keys, n_iter, inlier_cm, seed):
             use = keep if len(keep) >= 4 else picks[best]
         slope, start = _line_fits(t[use], lifted[use])
         rms = float(np.sqrt((errors(slope, start, t[use], lifted[use]) ** 2).mean()))
-        row = {k: pdf[k].iloc[0] for k in keys}
-        row.update(n=n, n_inliers=len(keep), rms_cm=rms)
-        row.update({f"v{c}": slope[i] for i, c in enumerate("xyz")})
-        row.update({f"{c}0": start[i] for i, c in enumerate("xyz")})
-        return pd.DataFrame([row])
+        out = {k: tab[k].combine_chunks()[:1] for k in keys}
+        out.update(n=pa.array([n]), n_inliers=pa.array([len(keep)]))
+        out.update({f"v{c}": pa.array([slope[i]]) for i, c in enumerate("xyz")})
+        out.update({f"{c}0": pa.array([start[i]]) for i, c in enumerate("xyz")})
+        return pa.table({**out, "rms_cm": pa.array([rms])})
     return run
 
 
@@ -131,7 +133,7 @@ def ransac_parabola(arcs: DataFrame, keys: Sequence[str] = SHOT, n_iter: int = 3
     schema = kt + ", n long, n_inliers long, vx double, vy double, vz double, x0 double, y0 double, " \
         "z0 double, rms_cm double"
     cols = arcs.select(*keys, "frame", "t", "x", "y", "z")   # one-row arcs have no slope
-    return grouped(cols, [*keys]).applyInPandas(_ransac_group(list(keys), n_iter, inlier_cm, seed), schema)
+    return grouped(cols, [*keys]).applyInArrow(_ransac_group(list(keys), n_iter, inlier_cm, seed), schema)
 
 
 # ---- ordered evidence ---------------------------------------------------------------
@@ -233,20 +235,20 @@ def _walk_group(rules: DescentRules):
         """The last four accepted rows do not drift away from the rim."""
         if len(path) < 4:
             return True
-        r = [np.hypot(p[2] - K.RIM_X, p[3] - K.RIM_Y) for p in path[-4:]]
-        return float(np.median(np.diff(r))) <= 1.5
+        r = [math.hypot(p[2] - K.RIM_X, p[3] - K.RIM_Y) for p in path[-4:]]
+        return sorted(b - a for a, b in zip(r, r[1:]))[1] <= 1.5
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        rows = list(pdf[cols].itertuples(index=False, name=None))
+    def run(tab: pa.Table) -> pa.Table:
+        tab = tab.sort_by("pos")
+        rows = list(zip(*(tab[c].to_pylist() for c in cols)))
         path, skipped, lost = [rows[0]], 0, False
         for row in rows[1:]:
             _, pt, px, py, pz = path[-1]
             dt = max(row[1] - pt, 1.0 / K.FPS)
-            if dt > 0.15 and pz < 360 and np.hypot(px - K.RIM_X, py - K.RIM_Y) < 45 and calm(path):
+            if dt > 0.15 and pz < 360 and math.hypot(px - K.RIM_X, py - K.RIM_Y) < 45 and calm(path):
                 lost = True
                 break
-            hop = np.hypot(row[2] - px, row[3] - py)
+            hop = math.hypot(row[2] - px, row[3] - py)
             if hop > 250 or hop / dt > 2500.0:
                 skipped += 1
                 if not rules.skip_noisy or skipped > rules.max_skips:
@@ -254,13 +256,16 @@ def _walk_group(rules: DescentRules):
                 continue
             skipped = 0
             path.append(row)
-            through = row[4] < K.RIM_Z - 20 and np.hypot(row[2] - K.RIM_X, row[3] - K.RIM_Y) < 60
+            through = row[4] < K.RIM_Z - 20 and math.hypot(row[2] - K.RIM_X, row[3] - K.RIM_Y) < 60
             if through or len(path) >= rules.max_rows:
                 break
-        out = pd.DataFrame(path, columns=cols)
-        head = pdf.iloc[0]
-        return out.assign(seq=np.arange(1, len(out) + 1), gap_stop=lost,
-                          **{k: head[k] for k in pdf.columns if k.startswith("k_")})
+        n = len(path)
+        out = dict(zip(cols, map(pa.array, zip(*path))))
+        out.update(seq=pa.array(range(1, n + 1), pa.int64()), gap_stop=pa.array([lost] * n))
+        first = pa.array([0] * n, pa.int64())
+        out.update({k: tab[k].combine_chunks().take(first) for k in tab.column_names
+                    if k.startswith("k_")})
+        return pa.table(out)
     return run
 
 
@@ -273,7 +278,7 @@ def descent_walk(after_apex: DataFrame, keys: Sequence[str], rules: DescentRules
     types = dict(src.dtypes)
     schema = "pos long, t double, x double, y double, z double, seq long, gap_stop boolean, " + \
         ", ".join(f"k_{k} {types[f'k_{k}']}" for k in keys)
-    w = grouped(src, [*[f"k_{k}" for k in keys]]).applyInPandas(_walk_group(rules), schema)
+    w = grouped(src, [*[f"k_{k}" for k in keys]]).applyInArrow(_walk_group(rules), schema)
     return w.withColumnsRenamed({f"k_{k}": k for k in keys})
 
 
