@@ -451,12 +451,12 @@ def _(s, d):
 
 @query("winsor_clip", f"""WITH {SCORED_CTE},
 b AS (SELECT quantile_cont(n_chars, 0.01) AS lo, quantile_cont(n_chars, 0.99) AS hi FROM scored
-  WHERE doc_id % 3 <> 0)
+  WHERE game_id = 'en')
 SELECT doc_id, least(greatest(CAST(n_chars AS DOUBLE), lo), hi) AS n_chars FROM scored, b""",
        {6: "n_chars"})
 def _(s, d):
     r = scored(s, d)
-    b = E.winsor_bounds(r.filter("doc_id % 3 <> 0"), ["n_chars"])
+    b = E.winsor_bounds(split_by_game(r).filter("split = 'train'"), ["n_chars"])
     return E.winsorise(r.select("doc_id", "n_chars"), b, ["n_chars"])
 
 

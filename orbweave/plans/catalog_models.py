@@ -11,8 +11,7 @@ from orbweave.plans.inputs import SCORED_CTE, scored
 from orbweave.plans.registry import query, table
 from orbweave.streaming import spotter as W
 
-FR_CTE = """fr AS (SELECT vec_id // 50 AS clip, vec_id % 50 AS pos, embedding FROM embeddings
-  WHERE vec_id % 13 <> 5),
+FR_CTE = """fr AS (SELECT vec_id // 50 AS clip, vec_id % 50 AS pos, embedding FROM embeddings),
 en AS (SELECT clip, pos, CASE WHEN lag(pos) OVER w = pos - 1 THEN list_avg(list_transform(
   list_zip(embedding, lag(embedding) OVER w), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))
   ELSE 0 END AS energy FROM fr WINDOW w AS (PARTITION BY clip ORDER BY pos))
@@ -20,9 +19,9 @@ en AS (SELECT clip, pos, CASE WHEN lag(pos) OVER w = pos - 1 THEN list_avg(list_
 
 
 def frames(s, d):
-    """Vectors as frames of 50-frame clips; every 13th frame is a detection gap."""
+    """All vectors as frames of 50-frame clips."""
     v = F.col("vec_id")
-    return table(s, d, "embeddings").filter(v % 13 != 5).select(
+    return table(s, d, "embeddings").select(
         F.floor(v / 50).alias("clip"), (v % 50).alias("pos"), "embedding")
 
 

@@ -122,3 +122,25 @@ def test_densest_neighbourhood_brute_force(spark):
         vs = [v for g, v in vals if g == k]
         best = max(((sum(abs(v - c) <= 1.0 for v in vs), -c) for c in vs))
         assert (got[k].support, -got[k].center) == best
+
+
+def test_frame_energy_breaks_at_missing_frames(spark):
+    from orbweave.operators import signal as G
+    rows = [(1, 0, [0.0, 0.0]), (1, 1, [1.0, 3.0]), (1, 3, [5.0, 5.0]), (1, 4, [5.0, 7.0])]
+    df = spark.createDataFrame(rows, "k int, pos long, px array<double>")
+    got = {r.pos: r.energy for r in G.frame_energy(df, ["k"], "pos", "px").collect()}
+    assert got == {0: 0.0, 1: 2.0, 3: 0.0, 4: 1.0}
+
+
+def test_audio_features_and_lag(spark):
+    from orbweave.operators import signal as G
+    rate = 4000
+    t = np.arange(rate) / rate
+    tone = (0.5 * np.sin(2 * np.pi * 1000 * t)).tolist()
+    noise = np.random.default_rng(0).normal(size=rate)
+    late = np.roll(noise, 120)
+    df = spark.createDataFrame([(tone, noise.tolist(), late.tolist())],
+                               "tone array<double>, a array<double>, b array<double>")
+    r = df.select(G.audio_features(rate)("tone").alias("f"), G.lag_of(rate)("a", "b").alias("l")).first()
+    assert abs(r.f.rms - 0.5 / np.sqrt(2)) < 1e-3 and r.f.e_500_2k > 0.99 and abs(r.f.centroid - 1000) < 5
+    assert abs(r.l.lag_s - 120 / rate) < 1e-9 and r.l.peak > 8
