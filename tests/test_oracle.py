@@ -21,9 +21,11 @@ def test_matches_sql(spark, con, name):
     assert ok, msg
 
 
-def test_names_are_plain():
-    for n in entry.queries():
-        assert "pipeline" not in n and "llm" not in n
+def test_catalogue_names_are_unique_and_plain():
+    from orbweave.plans import catalog
+    assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+    for n in catalog.QUERIES:
+        assert n.isidentifier() and n == n.lower()
 
 
 def test_entry(spark):
