@@ -53,8 +53,8 @@ p AS (SELECT *, concat_ws(chr(1), n, k[1], k[2]) AS lead, array_to_string(k[3:n]
     [array_to_string(k[3 : 2 + s], chr(1)), array_to_string(k[3 + s : 2 + 2 * s], chr(1)),
      array_to_string(k[3 + 2 * s : 2 + 3 * s], chr(1)), array_to_string(k[3 + 3 * s : n], chr(1))] AS q FROM n),
 v AS (SELECT doc_id, at, concat_ws(chr(2), '-1', lead, rest) AS template FROM p
-  UNION ALL SELECT doc_id, at, concat_ws(chr(2), i, lead, array_to_string(list_transform(q, lambda x, j:
-    CASE WHEN j = i THEN '' ELSE x END), chr(3))) FROM p, (SELECT unnest([1, 2, 3, 4]) AS i) WHERE n >= 12),
+  UNION ALL SELECT doc_id, at, concat_ws(chr(2), i, lead, array_to_string(
+    list_concat(q[1 : i - 1], [''], q[i + 1 : 4]), chr(3))) FROM p, (SELECT unnest([1, 2, 3, 4]) AS i) WHERE n >= 12),
 f AS (SELECT doc_id, at, min(doc_id) OVER (PARTITION BY template) AS first FROM v),
 d AS (SELECT DISTINCT doc_id, at FROM f WHERE first < doc_id),
 o AS (SELECT l.doc_id, count(*) AS n_lines, count(d.at) AS n_dropped,
