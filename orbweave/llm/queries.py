@@ -44,22 +44,22 @@ def _(spark, sf_dir):
 
 
 @_query("op3_line_dedup", r"""
-WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS at, unnest(x) AS line
+WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
-t AS (SELECT doc_id, at, string_split(trim(regexp_replace(regexp_replace(line, '\S*[0-9]\S*', '<*>', 'g'),
+t AS (SELECT doc_id, pos, string_split(trim(regexp_replace(regexp_replace(line, '\S*[0-9]\S*', '<*>', 'g'),
     '\s+', ' ', 'g')), ' ') AS k FROM l),
 n AS (SELECT *, len(k) AS n, CAST(floor((len(k) - 2) / 4) AS BIGINT) AS s FROM t WHERE len(k) >= 5),
 p AS (SELECT *, concat_ws(chr(1), n, k[1], k[2]) AS lead, array_to_string(k[3:n], chr(1)) AS rest,
     [array_to_string(k[3 : 2 + s], chr(1)), array_to_string(k[3 + s : 2 + 2 * s], chr(1)),
      array_to_string(k[3 + 2 * s : 2 + 3 * s], chr(1)), array_to_string(k[3 + 3 * s : n], chr(1))] AS q FROM n),
-v AS (SELECT doc_id, at, concat_ws(chr(2), '-1', lead, rest) AS template FROM p
-  UNION ALL SELECT doc_id, at, concat_ws(chr(2), i, lead, array_to_string(
+v AS (SELECT doc_id, pos, concat_ws(chr(2), '-1', lead, rest) AS template FROM p
+  UNION ALL SELECT doc_id, pos, concat_ws(chr(2), i, lead, array_to_string(
     list_concat(q[1 : i - 1], [''], q[i + 1 : 4]), chr(3))) FROM p, (SELECT unnest([1, 2, 3, 4]) AS i) WHERE n >= 12),
-f AS (SELECT doc_id, at, min(doc_id) OVER (PARTITION BY template) AS first FROM v),
-d AS (SELECT DISTINCT doc_id, at FROM f WHERE first < doc_id),
-o AS (SELECT l.doc_id, count(*) AS n_lines, count(d.at) AS n_dropped,
-    coalesce(string_agg(line, chr(10) ORDER BY l.at) FILTER (WHERE d.at IS NULL), '') AS kept
-  FROM l LEFT JOIN d ON d.doc_id = l.doc_id AND d.at = l.at GROUP BY l.doc_id)
+f AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY template) AS first FROM v),
+d AS (SELECT DISTINCT doc_id, pos FROM f WHERE first < doc_id),
+o AS (SELECT l.doc_id, count(*) AS n_lines, count(d.pos) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE d.pos IS NULL), '') AS kept
+  FROM l LEFT JOIN d ON d.doc_id = l.doc_id AND d.pos = l.pos GROUP BY l.doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS text_sha256
 FROM documents LEFT JOIN o USING (doc_id)
 """)
