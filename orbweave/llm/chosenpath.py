@@ -312,7 +312,8 @@ def _compare(rows: DataFrame, each: DataFrame, final: DataFrame, key: str, text:
                 sets.append(shingles(words).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(sets, pa.binary())],
                                              names=["digest", "tokens"])
-    needed = picked.select(F.col("rep").alias(key)).distinct()
+    # the texts needed again grow with the table: always joined by a shuffle, never sent to every task
+    needed = picked.select(F.col("rep").alias(key)).distinct().hint("merge")
     sets = rows.select(key, text).join(needed, key, "left_semi").select(text).mapInArrow(
         sets_of, "digest binary, tokens binary")
 
