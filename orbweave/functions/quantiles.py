@@ -92,7 +92,15 @@ def _selected(df: DataFrame, keys: Sequence[str], cols: Sequence[str], probs: Se
     out = pair.withColumn("_q", val).groupBy(*keys).agg(*[
         F.max(F.when((F.col("_name") == c) & (F.col("_p") == float(p)), F.col("_q")))
         .alias(_name(c, p, single)) for c in cols for p in probs])
-    return out
+    # a key whose columns are all null keeps its row, as in the native way
+    same = [F.col(f"_own_{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    own = df.select(*[F.col(k).alias(f"_own_{i}") for i, k in enumerate(keys)]).distinct()
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return own.join(out, cond, "left").select(
+        *[F.col(f"_own_{i}").alias(k) for i, k in enumerate(keys)],
+        *[_name(c, p, single) for c in cols for p in probs])
 
 
 def medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str],

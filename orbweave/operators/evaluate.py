@@ -107,16 +107,9 @@ def grid(start: float, stop: float, step: float) -> list[float]:
 
 
 def passed(score: Column, thresholds: Sequence[float]) -> Column:
-    """How many of the evenly spaced ascending thresholds are <= score, without a row blow-up."""
-    ts, n = [float(t) for t in thresholds], len(thresholds)
-    arr = F.array(*[F.lit(t) for t in ts])
-    step = (ts[-1] - ts[0]) / (n - 1) if n > 1 else 1.0
-    k = F.floor((score - F.lit(ts[0])) / F.lit(step)).cast("int")
-    k = F.greatest(F.lit(-1), F.least(F.lit(n - 1), k))
-    # the arithmetic guess can be one off at a threshold; compare with the exact values
-    up = F.when((k < n - 1) & (score >= F.get(arr, k + 1)), 1).otherwise(0)
-    down = F.when((k >= 0) & (score < F.get(arr, k)), 1).otherwise(0)
-    return k + up - down + 1
+    """How many of the ascending thresholds are <= score; null for a null score, which passes none."""
+    ts = F.array(*[F.lit(float(t)) for t in thresholds])
+    return F.when(score.isNotNull(), F.size(F.filter(ts, lambda t: t <= score)))
 
 
 def sweep(df: DataFrame, thresholds: Sequence[float], groups: Sequence[str] = (), score="prob",
@@ -135,7 +128,7 @@ def sweep(df: DataFrame, thresholds: Sequence[float], groups: Sequence[str] = ()
     x = h.select("*", F.posexplode(ts).alias("i", "threshold"))
 
     def above(field):
-        return F.aggregate(F.filter("h", lambda s: s["k"] > F.col("i")), F.lit(0).cast("long"),
+        return F.aggregate(F.filter("h", lambda s: F.coalesce(s["k"] > F.col("i"), F.lit(False))), F.lit(0).cast("long"),
                            lambda acc, s: acc + s[field])
     x = x.select(*g, "i", "threshold", above("p").alias("tp"), above("q").alias("fp"), "_p", "_q")
     return rates(x.select(*g, "i", "threshold", (F.col("_p") + F.col("_q")).alias("n"), "tp",

@@ -23,7 +23,7 @@ def logistic(cols: Sequence[str], reg: float = 0.01) -> Pipeline:
     """Median impute, standardise, class-weighted L2 logistic regression (weights in ``_w``)."""
     imp = [f"_i_{c}" for c in cols]
     return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=list(cols), outputCols=imp),
+        Imputer(strategy="median", relativeError=0.0, inputCols=list(cols), outputCols=imp),
         VectorAssembler(inputCols=imp, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_x", withMean=True),
         LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", regParam=reg,
@@ -35,7 +35,7 @@ def boosted(cols: Sequence[str], depth: int = 4, rate: float = 0.08, rounds: int
     """Median impute and gradient-boosted trees."""
     imp = [f"_i_{c}" for c in cols]
     return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=list(cols), outputCols=imp),
+        Imputer(strategy="median", relativeError=0.0, inputCols=list(cols), outputCols=imp),
         VectorAssembler(inputCols=imp, outputCol="_x"),
         GBTClassifier(featuresCol="_x", labelCol="label", maxDepth=depth, stepSize=rate,
                       maxIter=rounds, minInstancesPerNode=leaf, seed=42)])

@@ -12,12 +12,15 @@ from orbweave.operators.temporal import windows_hit
 
 def spot_scores(events: DataFrame, windows: DataFrame, keys: Sequence[str], t: str, lo: str,
                 hi: str, bucket) -> DataFrame:
-    """Recall of windows, precision of events and the number of false events per key."""
+    """Recall of windows, precision of events and the number of false events per key.
+
+    A key with windows only or events only has its row; a rate without a denominator is 0.
+    """
     hit, matched = windows_hit(events, windows, keys, t, lo, hi, bucket)
     w = hit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gt"), count_if(F.col("hit")).alias("_h"))
     e = matched.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ev"),
                                    count_if(F.col("matched")).alias("_m"))
-    j = w.join(e, list(keys), "left").fillna(0, ["n_ev", "_m"])
+    j = w.join(e, list(keys), "full").fillna(0, ["n_gt", "_h", "n_ev", "_m"])
     return j.select(*keys, "n_gt", "n_ev", ratio(F.col("_h"), F.col("n_gt")).alias("recall"),
                     ratio(F.col("_m"), F.col("n_ev")).alias("precision"),
                     (F.col("n_ev") - F.col("_m")).alias("n_false"))
@@ -60,7 +63,9 @@ def config_sweep(balls: DataFrame, windows: DataFrame, keys: Sequence[str], buck
     # an absent reach limit is a setting of its own, so it takes part in the key as -1
     ev, w = ev.fillna(-1.0, ["reach"]), w.fillna(-1.0, ["reach"])
     s = spot_scores(ev.select(*keys, *cfg, "event_t"), w, [*keys, *cfg], "event_t", "lo", "hi", bucket)
-    return s.groupBy(*cfg).agg(F.avg("recall").alias("recall"), F.avg("precision").alias("precision"),
+    labelled = F.col("n_gt") > 0                  # rates are averaged over the keys that have windows
+    return s.groupBy(*cfg).agg(F.avg(F.when(labelled, F.col("recall"))).alias("recall"),
+                               F.avg(F.when(labelled, F.col("precision"))).alias("precision"),
                                F.sum("n_false").alias("n_false"), F.sum("n_ev").alias("n_ev"))
 
 

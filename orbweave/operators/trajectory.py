@@ -349,6 +349,7 @@ def descent_rule(rules: DescentRules) -> Column:
             .otherwise("rule6_default"))
 
 
+REBOUND_S = 1.5          # the deepest point within a second of the apex, and 0.4 s after it
 MAKE_RULES = ("gap_stop", "bounceback_override", "rattle_make", "cross_make", "cross_y_override",
               "smooth_make")
 
@@ -392,9 +393,10 @@ def rescore(samples: DataFrame, keys: Sequence[str] = SHOT, rules: DescentRules
                        F.col("a.z").alias("apex_z"), radius("a.x", "a.y").alias("apex_r"),
                        (F.col("n_samples") - F.col("a.pos")).alias("n_after"))
     after = attach(n, apex.select(*keys, "apex_pos", "apex_t"), keys, [order], "inner")
-    after = cut(after.withColumn("k", F.col("pos") - F.col("apex_pos")).filter(
-        (F.col("k") >= 0) & (F.col("k") <= rules.reach)))
-    ev = walk_evidence(descent_walk(after, keys, rules), keys)
+    # the walk looks at ``reach`` rows, the rebound at REBOUND_S seconds, whatever the frame rate
+    after = cut(after.withColumn("k", F.col("pos") - F.col("apex_pos")).filter((F.col("k") >= 0) & (
+        (F.col("k") <= rules.reach) | (F.col("t") - F.col("apex_t") <= REBOUND_S))))
+    ev = walk_evidence(descent_walk(after.filter(F.col("k") <= rules.reach), keys, rules), keys)
     j = shots.join(apex, keys, "left").join(ev, keys, "left").join(near_rebound(after, keys), keys, "left")
     j = j.withColumn("n_samples", F.coalesce("n_samples", F.lit(0))).withColumn("_rule", descent_rule(rules))
     flip = (F.col("_rule").isin(*MAKE_RULES) & F.coalesce("nr_rebound", F.lit(False))

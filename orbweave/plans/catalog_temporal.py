@@ -129,9 +129,10 @@ w AS (SELECT w.user_id, count(*) AS n_gt, sum(CASE WHEN EXISTS (SELECT 1 FROM sp
 v AS (SELECT s.user_id, count(*) AS n_ev, sum(CASE WHEN EXISTS (SELECT 1 FROM wins w
    WHERE s.user_id = w.user_id AND s.event_t BETWEEN w.lo AND w.hi) THEN 1 ELSE 0 END) AS ok
    FROM spot s GROUP BY s.user_id)
-SELECT user_id, n_gt, coalesce(n_ev, 0) AS n_ev, CAST(hit AS DOUBLE) / n_gt AS recall,
+SELECT user_id, coalesce(n_gt, 0) AS n_gt, coalesce(n_ev, 0) AS n_ev,
+  CASE WHEN n_gt > 0 THEN CAST(hit AS DOUBLE) / n_gt ELSE 0 END AS recall,
   CASE WHEN n_ev > 0 THEN CAST(ok AS DOUBLE) / n_ev ELSE 0 END AS precision,
-  CAST(coalesce(n_ev - ok, 0) AS BIGINT) AS n_false FROM w LEFT JOIN v USING (user_id)""",
+  CAST(coalesce(n_ev - ok, 0) AS BIGINT) AS n_false FROM w FULL JOIN v USING (user_id)""",
        {6: "recall precision"})
 def _(s, d):
     from orbweave.operators.spotting import spot_scores
@@ -511,9 +512,9 @@ eh AS (SELECT e1.user_id, e1.stride, e1.zone, e1.min_hits, e1.reach, e1.downward
 
 @query("spotter_sweep", f"""WITH {SWEEP_SQL}
 SELECT stride, zone, min_hits, reach, downward, avg(CAST(hit AS DOUBLE)/n_gt) AS recall,
- avg(CASE WHEN n_ev > 0 THEN CAST(ok AS DOUBLE)/n_ev ELSE 0 END) AS precision,
+ avg(CASE WHEN n_gt > 0 THEN CASE WHEN n_ev > 0 THEN CAST(ok AS DOUBLE)/n_ev ELSE 0 END END) AS precision,
  CAST(sum(coalesce(n_ev-ok,0)) AS BIGINT) AS n_false, CAST(sum(coalesce(n_ev,0)) AS BIGINT) AS n_ev
-FROM wh LEFT JOIN eh USING (user_id, stride, zone, min_hits, reach, downward) GROUP BY ALL""",
+FROM wh FULL JOIN eh USING (user_id, stride, zone, min_hits, reach, downward) GROUP BY ALL""",
        {6: "recall precision"})
 def _(s, d):
     from orbweave.operators.spotting import SWEEP, config_sweep

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,43 +29,52 @@ def hit_sessions(hits: DataFrame, keys: Sequence[str], ts: str = "ts", gap: str
 
 
 REFERENCE_OUT = "key string, event_t timestamp, t_first timestamp, n_hits long, min_dist double, ref double"
-REFERENCE_STATE = "ref double, first timestamp, last timestamp, best timestamp, dist double, n long"
+REFERENCE_STATE = ("ref double, first timestamp, last timestamp, best timestamp, dist double, n long, "
+                   "event_ref double")
+
+
+def _events_of(times, values, refs, gap_s: float, reach: float, open_event):
+    """Closed events and the open one, from rows in time order; an event is (first, last, best, dist, n, ref)."""
+    done, event = [], open_event
+    for i in (abs(values - refs) <= reach).nonzero()[0]:
+        ts, d, ref = times[i], abs(values[i] - refs[i]), refs[i]
+        if event is not None and (ts - event[1]).total_seconds() > gap_s:
+            done.append(event)
+            event = None
+        if event is None:
+            event = (ts, ts, ts, d, 1, ref)
+        else:
+            first, _, best, dist, n, _ = event
+            event = (first, ts, *((ts, d) if d < dist else (best, dist)), n + 1, ref)
+    return done, event
 
 
 def _track(gap_s: float, keep: float, reach: float):
-    """State function: moving reference per key, open event, closed events out."""
+    """State function: moving reference per key, open event, closed events out.
+
+    The reference is kept for the whole stream; a timeout closes the open event only, so the cut into
+    batches does not show.
+    """
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ref, first, last, best, dist, n = state.get if state.exists else (None, None, None, None, None, 0)
+        ref, *event = state.get if state.exists else (None,) * 7
+        event = None if event[0] is None else tuple(event)
         done = []
-
-        def close():
-            if n >= 2:
-                done.append((key[0], best, first, n, dist, ref))
         if state.hasTimedOut:
-            close()
-            first = last = best = dist = None
-            n = 0
-            state.remove()
+            if event is not None:
+                done, event = [event], None
         else:
-            rows = pd.concat(list(batches)).sort_values("ts")
-            for ts, value, center in zip(rows["ts"], rows["value"], rows["center"]):
+            rows = pd.concat(list(batches)).sort_values(["ts", "value", "center"])
+            refs = []
+            for center in rows["center"]:
                 ref = center if ref is None else keep * ref + (1 - keep) * center
-                d = abs(value - ref)
-                if d > reach:
-                    continue
-                if last is not None and (ts - last).total_seconds() > gap_s:
-                    close()
-                    first, n, dist = None, 0, None
-                if first is None:
-                    first = ts
-                if dist is None or d < dist:
-                    best, dist = ts, d
-                last, n = ts, n + 1
-            state.update((ref, first, last, best, dist, n))
-            if last is not None:
-                wake = int(last.timestamp() * 1000 + gap_s * 1000) + 1
-                state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(done, columns=["key", "event_t", "t_first", "n_hits", "min_dist", "ref"])
+                refs.append(ref)
+            done, event = _events_of(list(rows["ts"]), rows["value"].to_numpy(), np.array(refs), gap_s, reach, event)
+        state.update((ref, *(event or (None,) * 6)))
+        if event is not None:
+            wake = int(event[1].timestamp() * 1000 + gap_s * 1000) + 1
+            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+        out = [(key[0], best, first, n, dist, at) for first, _, best, dist, n, at in done if n >= 2]
+        yield pd.DataFrame(out, columns=["key", "event_t", "t_first", "n_hits", "min_dist", "ref"])
     return run
 
 
@@ -72,7 +82,8 @@ def reference_events(rows: DataFrame, key: str, gap_s: float, keep: float = 0.95
                      delay: str = "0 seconds") -> DataFrame:
     """Running reference and events around it, per key; ``rows``: key, ts, value, center.
 
-    State per key is six numbers; a closed event leaves it when its gap passes the watermark.
+    State per key is seven values; a closed event leaves when its gap passes the watermark, with the
+    reference at its last hit.
     """
     src = rows.withWatermark("ts", delay).select(F.col(key).cast("string").alias("key"), "ts", "value",
                                                  "center")
@@ -97,13 +108,18 @@ def match_stream(events: DataFrame, windows: DataFrame, key: str, before: str =
                                         *[f"e.{c}" for c in cols], "w.win_id", "w.start")
 
 
-def run_available(stream: DataFrame, mode: str = "append", seconds: int = 600) -> DataFrame:
-    """Drain what is available into parquet in the shared folder and return it as a table."""
+def run_available(stream: DataFrame, mode: str = "append", seconds: int | None = None) -> DataFrame:
+    """Drain what is available into parquet in the shared folder and return it as a table.
+
+    ``seconds`` bounds the wait; without it the stream may take as long as it needs.
+    """
     spark = stream.sparkSession
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start())
-    if not q.awaitTermination(seconds):
+    if seconds is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(seconds):
         q.stop()
         raise TimeoutError("stream did not finish")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
