@@ -39,19 +39,25 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     ``decay`` over the number of positives.
     """
     rng = np.random.default_rng(seed)
+    positive, unlabelled = (rng.permutation(x).astype("f4") for x in (positive, unlabelled))
     w = np.zeros(positive.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
 
+    def half(x):
+        """A random run of half the rows, without a copy; small samples whole."""
+        n = len(x) if len(x) <= 20 else len(x) // 2
+        at = int(rng.integers(len(x) - n + 1))
+        return x[at:at + n]
+
     def terms(x):
-        g = x @ w[:-1] + w[-1]
+        g = (x @ w[:-1].astype("f4")).astype("f8") + w[-1]
         p = 1 / (1 + np.exp(-g))
-        up = lambda weight: np.append(weight @ x, weight.sum()) / len(x)
+        up = lambda weight: np.append(weight.astype("f4") @ x, weight.sum()) / len(x)
         return np.logaddexp(0, g).mean(), up(p), up(p - 1)      # loss as negative, its gradient, gradient as positive
     for t in range(1, steps + 1):
-        pick = lambda x: x[rng.random(len(x)) < 0.5] if len(x) > 20 else x
-        loss_p, down_p, up_p = terms(pick(positive))
-        loss_u, down_u, _ = terms(pick(unlabelled))
+        loss_p, down_p, up_p = terms(half(positive))
+        loss_u, down_u, _ = terms(half(unlabelled))
         rest = loss_u - prior * loss_p
         gradient = prior * up_p + down_u - prior * down_p if rest >= 0 else prior * down_p - down_u
         gradient[:-1] += decay / len(positive) * w[:-1]
