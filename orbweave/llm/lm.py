@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -73,8 +74,10 @@ class Classes(dict):
         c = self[word] = WORDS + 1 + zlib.crc32(word[-2:]) % GROUPS
         return c
 
-    def of(self, text: bytes) -> list[int]:
-        return [*map(self.__getitem__, words_of(text)), 0]
+    def of(self, text: bytes) -> np.ndarray:
+        words = words_of(text)
+        words.append(END)
+        return np.fromiter(map(self.__getitem__, words), "i4", len(words))
 
 
 # --- the model -------------------------------------------------------------------------------------------
@@ -154,10 +157,14 @@ class LogBilinear:
         return ((e1[u] + e2[v]) * self.q[w]).sum(1) + self.b[w]
 
 
-def contexts(classes: list[int]) -> tuple[list[int], list[int]]:
-    """The two classes before each token; before the first ones stands the start symbol."""
-    start = CLASSES
-    return [start, start, *classes[:-2]][:len(classes)], [start, *classes[:-1]]
+def contexts(tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two classes before each token of texts that begin at ``firsts``; before a text stands the start symbol."""
+    u, v = np.full_like(tokens, CLASSES), np.full_like(tokens, CLASSES)
+    v[1:], u[2:] = tokens[:-1], tokens[:-2]
+    v[firsts] = u[firsts] = CLASSES
+    seconds = firsts + 1
+    u[seconds[seconds < np.append(firsts[1:], len(tokens))]] = CLASSES
+    return u, v
 
 
 def train_round(rows: DataFrame, learn, text: str, frequent: list[bytes], unigram: np.ndarray,
@@ -171,26 +178,25 @@ def train_round(rows: DataFrame, learn, text: str, frequent: list[bytes], unigra
     def run(batches):
         model, classes = LogBilinear(unigram, flat), Classes(frequent)
         rng = np.random.default_rng(TaskContext.get().partitionId() + 1)
-        u, v, w, seen = [], [], [], 0
+        chains, held, seen = [], 0, 0
 
-        def learn_from(final=False):
-            nonlocal seen
-            a, b, c = (np.array(x, "i4") for x in (u, v, w))
-            order = rng.permutation(len(c))
+        def learn_from(chains):
+            w = np.concatenate(chains)
+            u, v = contexts(w, np.cumsum([0, *map(len, chains[:-1])]))
+            order = rng.permutation(len(w))
             for at in range(0, len(order), BATCH):
                 mine = order[at:at + BATCH]
-                model.step(a[mine], b[mine], c[mine], rng)
-            seen += len(c)
-            u.clear(), v.clear(), w.clear()
+                model.step(u[mine], v[mine], w[mine], rng)
+            return len(w)
         for b in slices(batches):
             for t in texts(b.column(0)):
-                c = classes.of(t)
-                before2, before1 = contexts(c)
-                u.extend(before2), v.extend(before1), w.extend(c)
-                if len(w) > 64 * BATCH:
-                    learn_from()
-        if w:
-            learn_from()
+                chains.append(classes.of(t))
+                held += len(chains[-1])
+                if held > 64 * BATCH:
+                    seen += learn_from(chains)
+                    chains, held = [], 0
+        if chains:
+            seen += learn_from(chains)
         if seen:
             vector = np.concatenate([model.flat, np.zeros(-len(model.flat) % width, "f4")]).astype("f8") * seen
             vector = vector.reshape(-1, width)
@@ -262,13 +268,16 @@ def lm_scores(rows: DataFrame, learn, key: str = "name", text: str = "verdict")
         flat = train_round(rows, learn, text, frequent, unigram, flat)
     share = np.log10(group[WORDS + 1:] + 0.5 * (words_in + 1))      # what a group's words share, one unknown included
     base_all = np.log10(total + 0.5 * (distinct + 1))
-    log_c = {w: np.log10(c + 0.5) for w, c in known.items()}
+    at_hand = {w: i for i, w in enumerate(known)}
+    own_class = [0 if w == END else own[w] for w in known] + [0]
+    own_log = np.array([np.log10(c + 0.5) for c in known.values()] + [0.0])
     stamp = zlib.crc32(flat.tobytes())
 
     def run(batches):
         model, classes = LogBilinear(unigram, flat), Classes(frequent)
         if _held.get("stamp") != stamp:              # normalisers met so far; one float per pair of classes
             _held.update(stamp=stamp, z=np.full((CLASSES + 1) ** 2, np.nan, "f4"))
+        class_of = np.array(own_class, "i4")
         z, task, row = _held["z"], TaskContext.get().partitionId(), 0
         for b in slices(batches, 1000):
             keys, held_out, sizes, n_known, base, score, tails, tail_n = b.column(0), b.column(2), [], [], [], [], [], []
@@ -276,28 +285,23 @@ def lm_scores(rows: DataFrame, learn, key: str = "name", text: str = "verdict")
             for t in texts(b.column(1)):
                 words = words_of(t)
                 words.append(END)
-                chains.append(np.fromiter(map(classes.__getitem__, words), "i4", len(words)))
+                place = np.fromiter(map(at_hand.get, words, repeat(-1)), "i4", len(words))
+                chain, logs = class_of[place], own_log[place]
+                far = np.flatnonzero(place < 0)
+                unknown = Counter([words[i] for i in far.tolist()])
+                if len(far):
+                    chain[far] = np.fromiter((classes[words[i]] for i in far.tolist()), "i4", len(far))
+                chains.append(chain)
                 sizes.append(len(words))
-                values = [log_c.get(w) for w in words]
-                if None in values:
-                    unknown = Counter(w for w, x in zip(words, values) if x is None)
-                    values = [x for x in values if x is not None]
-                else:
-                    unknown = {}
-                n_known.append(len(values))
-                base.append(sum(values) - len(words) * base_all)
+                n_known.append(len(words) - len(far))
+                base.append(float(logs.sum()) - len(words) * base_all)
                 # of the words in groups the model still needs their counts, as far as they are at hand
-                grouped = chains[-1] > WORDS
-                rest.append(sum(log_c.get(words[i], 0.0) for i in np.flatnonzero(grouped).tolist()))
+                rest.append(float(logs[chain > WORDS].sum()))
                 tails.append(list(unknown))
                 tail_n.append(list(unknown.values()))
             w = np.concatenate(chains)
             firsts = np.cumsum(sizes) - sizes
-            u, v = np.empty_like(w), np.empty_like(w)
-            v[1:], u[2:] = w[:-1], w[:-2]
-            v[firsts] = u[firsts] = CLASSES
-            seconds = firsts[np.array(sizes) > 1] + 1
-            u[seconds] = CLASSES
+            u, v = contexts(w, firsts)
             pair = u.astype("i8") * (CLASSES + 1) + v
             new = np.unique(pair[np.isnan(z[pair])])
             z[new] = model.log_normalisers(new // (CLASSES + 1), new % (CLASSES + 1))
