@@ -92,6 +92,7 @@ class LogBilinear:
         shapes = [(CLASSES + 1, DIM), (CLASSES, DIM), (CLASSES,), (DIM, DIM), (DIM, DIM)]
         sizes = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
         self.noise = unigram / unigram.sum()
+        self._upto, self._log_kq = np.cumsum(self.noise), np.log(NOISE * self.noise).astype("f4")
         if flat is None:
             rng = np.random.default_rng(7)
             flat = np.zeros(sizes[-1])
@@ -105,7 +106,7 @@ class LogBilinear:
 
     @staticmethod
     def _sum_rows(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(index, kind="stable")
+        order = np.argsort(index.astype("i2"), kind="stable")        # classes fit 16 bits: a radix sort
         i = index[order]
         starts = np.flatnonzero(np.diff(i, prepend=-1))
         return i[starts], np.add.reduceat(values[order], starts, axis=0)
@@ -122,20 +123,21 @@ class LogBilinear:
         The draws are shared by the batch, so that scores and gradients are matrix products.
         """
         n = len(w)
-        drawn = np.searchsorted(np.cumsum(self.noise), rng.random(NOISE)).clip(0, CLASSES - 1)
-        log_kq = np.log(NOISE * self.noise).astype("f4")
+        drawn = np.searchsorted(self._upto, rng.random(NOISE)).clip(0, CLASSES - 1)
+        log_kq = self._log_kq
         ru, rv = self.r[u], self.r[v]
         h = ru @ self.a1 + rv @ self.a2
         true = 1 / (1 + np.exp(((h * self.q[w]).sum(1) + self.b[w]) - log_kq[w]))          # 1 - p(true)
         false = 1 / (1 + np.exp(-(h @ self.q[drawn].T + self.b[drawn] - log_kq[drawn])))   # p(true) of a draw
         gh = true[:, None] * self.q[w] - false @ self.q[drawn]
         targets = np.concatenate([w, drawn])
-        i, g = self._sum_rows(targets, np.concatenate([true[:, None] * h, -(false.T @ h)]).astype("f4"))
-        j, gb = self._sum_rows(targets, np.concatenate([true, -false.sum(0)]).astype("f4"))
+        ones = np.ones((n, 1), "f4")
+        h1 = np.concatenate([h, ones], axis=1)               # the last column sums up for the biases
+        i, g = self._sum_rows(targets, np.concatenate([true[:, None] * h1, -(false.T @ h1)]).astype("f4"))
         k, gr = self._sum_rows(np.concatenate([u, v]), np.concatenate([gh @ self.a1.T, gh @ self.a2.T]).astype("f4"))
         scale = np.float32(32.0 / n)
-        self._move(1, i, g * scale)
-        self._move(2, j, gb * scale)
+        self._move(1, i, g[:, :DIM] * scale)
+        self._move(2, i, g[:, DIM] * scale)
         self._move(0, k, gr * scale)
         self._move(3, slice(None), (ru.T @ gh) * scale)
         self._move(4, slice(None), (rv.T @ gh) * scale)
