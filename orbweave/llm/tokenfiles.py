@@ -18,6 +18,7 @@ PACKING = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
 ESCAPE = 15
 CHUNK = 4096
 BLOCK_IDS = 65_536
+_BITS = np.array([v.bit_length() for v in range(1 << 16)], "u1")
 
 
 # --- the code --------------------------------------------------------------------------------------------
@@ -33,21 +34,23 @@ def simple8b_encode(ids: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, np
     n = len(ids)
     if not n:
         return np.zeros(0, "u8"), np.zeros(0, "i8")
-    bits = np.where(ids < (1 << 53), np.frexp(ids.astype("f8"))[1], 64).astype("i2")
-    wide = ids >= (1 << 53)
-    if wide.any():
+    if ids.max() < len(_BITS):
+        bits = _BITS[ids]
+    else:
+        bits = np.where(ids < (1 << 53), np.frexp(ids.astype("f8"))[1], 64).astype("u1")
+        wide = ids >= (1 << 53)
         bits[wide] = [int(v).bit_length() for v in ids[wide]]
-    at = np.arange(n)
-    end = np.minimum((at // chunk + 1) * chunk, n)            # no word crosses a chunk's end
     choice = np.full(n, ESCAPE, "i1")
     step = np.ones(n, "i8")
     for selector in range(len(PACKING) - 1, -1, -1):          # from few wide values to many narrow ones
         count, width = PACKING[selector]
-        over = np.where(bits > width, at, n)
-        first_over = np.minimum.accumulate(over[::-1])[::-1]  # next id too wide for this selector
-        fits = np.minimum(first_over, end) - at >= count
+        narrow = np.flatnonzero(bits <= width)
+        if len(narrow) < count:
+            break
+        first = narrow[:len(narrow) - count + 1]              # ids from which ``count`` in a row are narrow enough
+        fits = first[(narrow[count - 1:] - first == count - 1) & (first % chunk <= chunk - count)]
         choice[fits], step[fits] = selector, count
-    following = (at + step).tolist()
+    following = (np.arange(n) + step).tolist()
     starts, i = [], 0
     while i < n:                                              # the chain of words; all else is by array
         starts.append(i)
