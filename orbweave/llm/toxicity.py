@@ -30,13 +30,14 @@ def word_set(text: bytes) -> set[bytes]:
 # --- the classifier --------------------------------------------------------------------------------------
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.1,
-             decay: float = 0.3, seed: int = 0) -> np.ndarray:
+             decay: float = 0.1, seed: int = 0) -> np.ndarray:
     """Linear weights (bias last) that minimise the non-negative positive-unlabelled risk with logistic loss.
 
     The risk is ``prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])``.  Where the second term falls
     below zero the step goes the other way along its gradient, which keeps the model from fitting the unlabelled
-    sample as if it were all negative.  Steps are Adam's, on random halves of both samples; weights shrink by
-    ``decay`` over the number of positives.
+    sample as if it were all negative.  Steps are Adam's, on random halves of both samples, with a rate that falls
+    evenly to zero, so that the turns between the two directions die out; weights shrink by ``decay`` over the number
+    of positives.
     """
     rng = np.random.default_rng(seed)
     positive, unlabelled = (rng.permutation(x).astype("f4") for x in (positive, unlabelled))
@@ -63,7 +64,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
         gradient[:-1] += decay / len(positive) * w[:-1]
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient ** 2
-        w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     return w
 
 
