@@ -77,7 +77,7 @@ class Classes(dict):
     def of(self, text: bytes) -> np.ndarray:
         words = words_of(text)
         words.append(END)
-        return np.fromiter(map(self.__getitem__, words), "i4", len(words))
+        return np.fromiter(map(self.__getitem__, words), "i2", len(words))
 
 
 # --- the model -------------------------------------------------------------------------------------------
@@ -109,7 +109,7 @@ class LogBilinear:
         order = np.argsort(index.astype("i2"), kind="stable")        # classes fit 16 bits: a radix sort
         i = index[order]
         starts = np.flatnonzero(np.diff(i, prepend=-1))
-        return i[starts], np.add.reduceat(values[order], starts, axis=0)
+        return i[starts], np.add.reduceat(values.take(order, 0), starts, axis=0)
 
     def _move(self, which: int, index, gradient) -> None:
         """AdaGrad ascent on the rows ``index`` of a parameter."""
@@ -125,11 +125,12 @@ class LogBilinear:
         n = len(w)
         drawn = np.searchsorted(self._upto, rng.random(NOISE)).clip(0, CLASSES - 1)
         log_kq = self._log_kq
-        ru, rv = self.r[u], self.r[v]
+        ru, rv, qw, qd = self.r.take(u, 0), self.r.take(v, 0), self.q.take(w, 0), self.q.take(drawn, 0)
         h = ru @ self.a1 + rv @ self.a2
-        true = 1 / (1 + np.exp(((h * self.q[w]).sum(1) + self.b[w]) - log_kq[w]))          # 1 - p(true)
-        false = 1 / (1 + np.exp(-(h @ self.q[drawn].T + self.b[drawn] - log_kq[drawn])))   # p(true) of a draw
-        gh = true[:, None] * self.q[w] - false @ self.q[drawn]
+        edge = self.b - log_kq
+        true = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, qw) + edge.take(w)))       # 1 - p(true)
+        false = 1 / (1 + np.exp(-edge.take(drawn) - h @ qd.T))                     # p(true) of a draw
+        gh = true[:, None] * qw - false @ qd
         targets = np.concatenate([w, drawn])
         ones = np.ones((n, 1), "f4")
         h1 = np.concatenate([h, ones], axis=1)               # the last column sums up for the biases
@@ -156,7 +157,13 @@ class LogBilinear:
 
     def scores(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         e1, e2 = self.r @ self.a1, self.r @ self.a2
-        return ((e1[u] + e2[v]) * self.q[w]).sum(1) + self.b[w]
+        out = self.b.take(w)
+        for at in range(0, len(w), 8192):            # stretches that stay in the cache
+            part = slice(at, at + 8192)
+            h = e1.take(u[part], 0)
+            h += e2.take(v[part], 0)
+            out[part] += np.einsum("ij,ij->i", h, self.q.take(w[part], 0))
+        return out
 
 
 def contexts(tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,8 +176,17 @@ def contexts(tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.nda
     return u, v
 
 
-def train_round(rows: DataFrame, learn, text: str, frequent: list[bytes], unigram: np.ndarray,
-                flat: np.ndarray | None) -> np.ndarray:
+def class_chains(rows: DataFrame, learn, text: str, frequent: list[bytes]) -> DataFrame:
+    """The classes of each training text's tokens as 16-bit numbers, one text a row: what the rounds read."""
+    def run(batches):
+        classes = Classes(frequent)
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([classes.of(t).tobytes() for t in texts(b.column(0))], pa.binary())], names=["chain"])
+    return rows.where(learn).select(F.col(text)).mapInArrow(run, "chain binary")
+
+
+def train_round(chains: DataFrame, unigram: np.ndarray, flat: np.ndarray | None) -> np.ndarray:
     """One pass over all training texts: every task trains a copy, and Spark averages them by tokens seen.
 
     A task sends its vector in rows of 64 values, whose sums stay on the executors; the driver gets one vector.
@@ -178,12 +194,12 @@ def train_round(rows: DataFrame, learn, text: str, frequent: list[bytes], unigra
     width = 64
 
     def run(batches):
-        model, classes = LogBilinear(unigram, flat), Classes(frequent)
+        model = LogBilinear(unigram, flat)
         rng = np.random.default_rng(TaskContext.get().partitionId() + 1)
         chains, held, seen = [], 0, 0
 
         def learn_from(chains):
-            w = np.concatenate(chains)
+            w = np.concatenate(chains).astype("i4")
             u, v = contexts(w, np.cumsum([0, *map(len, chains[:-1])]))
             order = rng.permutation(len(w))
             for at in range(0, len(order), BATCH):
@@ -192,7 +208,7 @@ def train_round(rows: DataFrame, learn, text: str, frequent: list[bytes], unigra
             return len(w)
         for b in slices(batches):
             for t in texts(b.column(0)):
-                chains.append(classes.of(t))
+                chains.append(np.frombuffer(t, "i2"))
                 held += len(chains[-1])
                 if held > 64 * BATCH:
                     seen += learn_from(chains)
@@ -206,7 +222,7 @@ def train_round(rows: DataFrame, learn, text: str, frequent: list[bytes], unigra
                 [pa.array(np.arange(len(vector))), pa.array([float(seen)] * len(vector)),
                  *(pa.array(vector[:, i]) for i in range(width))], names=["i", "n", *(f"v{i}" for i in range(width))])
     columns = [f"v{i}" for i in range(width)]
-    summed = rows.where(learn).select(F.col(text)).mapInArrow(
+    summed = chains.mapInArrow(
         run, "i bigint, n double, " + ", ".join(f"{c} double" for c in columns)).groupBy("i").agg(
             F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in columns)).toPandas().sort_values("i")
     if not len(summed):
@@ -265,9 +281,10 @@ def lm_scores(rows: DataFrame, learn, key: str = "name", text: str = "verdict")
             F.sum("c").alias("c"), F.sum("n").alias("n")).collect():
         group[WORDS + 1 + r["g"]], words_in[r["g"]] = r["c"], r["n"]
     unigram = group + 0.5
+    chains = written(class_chains(rows, learn, text, frequent), "class-chains")
     flat = None
     for _ in range(ROUNDS):
-        flat = train_round(rows, learn, text, frequent, unigram, flat)
+        flat = train_round(chains, unigram, flat)
     share = np.log10(group[WORDS + 1:] + 0.5 * (words_in + 1))      # what a group's words share, one unknown included
     base_all = np.log10(total + 0.5 * (distinct + 1))
     at_hand = {w: i for i, w in enumerate(known)}
