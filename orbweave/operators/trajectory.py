@@ -379,16 +379,24 @@ def near_rebound(after: DataFrame, keys: Sequence[str], box=K.NEAR_HOOP_BOX) ->
 
 
 def rescore(samples: DataFrame, keys: Sequence[str] = SHOT, rules: DescentRules = DescentRules(),
-            bounds=K.COURT_BOUNDS, order: str = "frame") -> DataFrame:
-    """Typed verdict per shot from cached samples: bounds, apex, walk, rules, rebound override."""
+            bounds=K.COURT_BOUNDS, order: str = "frame", apex_at: str | None = None,
+            min_samples: int = 3) -> DataFrame:
+    """Typed verdict per shot from cached samples: bounds, apex, walk, rules, rebound override.
+
+    The apex is the highest row, or, where ``apex_at`` names a column with its time, the row nearest that time;
+    the first row on ties.  Shots with fewer than ``min_samples`` rows stay undecided.
+    """
     keys = list(keys)
     shots = samples.select(*keys).distinct()
     court = in_court(samples, bounds) if bounds else samples
     b = ordered.frame_bucket(order)
     n = cut(ordered.row_number(court, keys, [order], b, "pos"))
-    apex = n.groupBy(*keys).agg(
-        F.max_by(F.struct("pos", "t", "x", "y", "z"), F.struct("z", -F.col("pos"))).alias("a"),
-        F.count(F.lit(1)).alias("n_samples"))
+    row = F.struct("pos", "t", "x", "y", "z")
+    if apex_at is None:
+        highest = F.max_by(row, F.struct("z", -F.col("pos")))
+    else:
+        highest = F.min_by(row, F.struct(F.abs(F.col("t") - F.col(apex_at)), F.col("pos")))
+    apex = n.groupBy(*keys).agg(highest.alias("a"), F.count(F.lit(1)).alias("n_samples"))
     apex = apex.select(*keys, "n_samples", F.col("a.pos").alias("apex_pos"), F.col("a.t").alias("apex_t"),
                        F.col("a.z").alias("apex_z"), radius("a.x", "a.y").alias("apex_r"),
                        (F.col("n_samples") - F.col("a.pos")).alias("n_after"))
@@ -398,7 +406,8 @@ def rescore(samples: DataFrame, keys: Sequence[str] = SHOT, rules: DescentRules
         (F.col("k") <= rules.reach) | (F.col("t") - F.col("apex_t") <= REBOUND_S))))
     ev = walk_evidence(descent_walk(after.filter(F.col("k") <= rules.reach), keys, rules), keys)
     j = shots.join(apex, keys, "left").join(ev, keys, "left").join(near_rebound(after, keys), keys, "left")
-    j = j.withColumn("n_samples", F.coalesce("n_samples", F.lit(0))).withColumn("_rule", descent_rule(rules))
+    j = j.withColumn("n_samples", F.coalesce("n_samples", F.lit(0))).withColumn(
+        "_rule", F.when(F.col("n_samples") < min_samples, "undecided_no_samples").otherwise(descent_rule(rules)))
     flip = (F.col("_rule").isin(*MAKE_RULES) & F.coalesce("nr_rebound", F.lit(False))
             & (F.col("z_low") > 150))
     j = j.withColumn("rule", F.when(flip, "nr_rebound").otherwise(F.col("_rule"))).drop("_rule")
@@ -432,7 +441,9 @@ def attempts(samples: DataFrame, keys: Sequence[str] = SHOT, min_sep: float = 1.
     samples, reach the greedy choice.
     """
     keys = list(keys)
-    cand = cut(apex_candidates(samples, keys))
+    # windows with fewer than six rows have no attempts
+    enough = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 6").select(*keys)
+    cand = cut(apex_candidates(samples, keys).join(enough, keys, "left_semi"))
     sm = S.moving_average3(samples, "z", keys, "frame", "zs").select(*keys, "frame", "zs")
     marked = sm.join(cand.select(*keys, "frame", F.lit(1).alias("_c")), [*keys, "frame"], "left")
     f = ordered.fill_known(marked, keys, ["frame"], F.when(F.col("_c") == 1, F.col("frame")),
@@ -456,13 +467,13 @@ def attempts(samples: DataFrame, keys: Sequence[str] = SHOT, min_sep: float = 1.
 
 def attempt_verdicts(samples: DataFrame, keys: Sequence[str] = SHOT, before: float = 0.8,
                      after: float = 1.5) -> DataFrame:
-    """Verdict of every attempt, each judged on its own time slice."""
+    """Verdict of every attempt, each judged from its own apex on its own time slice of at least five rows."""
     keys = list(keys)
     a = attempts(samples, keys).select(*keys, F.col("frame").alias("attempt"), F.col("t").alias("_at"))
     # attempts are at least a second apart, so a row belongs to at most four slices
     sl = samples.join(a, keys).filter(
-        (F.col("t") >= F.col("_at") - before) & (F.col("t") <= F.col("_at") + after)).drop("_at")
-    v = rescore(sl, [*keys, "attempt"], bounds=None)
+        (F.col("t") >= F.col("_at") - before) & (F.col("t") <= F.col("_at") + after))
+    v = rescore(sl, [*keys, "attempt"], bounds=None, apex_at="_at", min_samples=5)
     return v.select(*keys, "attempt", "verdict_class", "rule", "n_samples")
 
 

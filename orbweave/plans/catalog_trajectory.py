@@ -280,10 +280,8 @@ def _(s, d):
 def _(s, d):
     """Trajectory verdict of two sample sources, confidence cues and agreement per throw."""
     x = samples(s, d)
-    l1 = H.rescore(x.filter("nr_y > 760"))      # the first pass misses the ball high in the near view
-    hr = H.rescore(x)
     from orbweave.plans.shots import arbiter
-    return arbiter(x, l1, hr)
+    return arbiter(x.filter("nr_y > 760"), x)   # the first pass misses the ball high in the near view
 
 
 @query("shot_feature_rows_clean")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import boxes as B, fixed as K
 from orbweave.operators import clean as C, sequence as S, tracks as T, trajectory as H
+from orbweave.plans.shots import arbiter, with_predictions
 
 RX, RY, RZ = K.RIM_X, K.RIM_Y, K.RIM_Z
 
@@ -138,6 +139,46 @@ def test_attempts_need_time_and_a_dip(spark):
     assert all(b - a >= 1.0 for a, b in zip(ts, ts[1:]))
 
 
+SAMPLE = "game_id int, shot string, frame long, t double, x double, y double, z double, nr_x double, nr_y double"
+
+
+def test_each_attempt_is_judged_from_its_own_apex(spark):
+    """A low attempt that falls through the rim, and 1.2 s later a higher one that lands far behind it."""
+    def fall(at, top, x_of):
+        return {at + k: (x_of(k), top - 1.6 * k * k) for k in range(-17, 18)}
+    low = fall(18, 480, lambda k: RX - 6.0 * max(0, 12 - k))
+    high = fall(54, 620, lambda k: RX + 14.0 * k)
+    at = {**high, **{i: v for i, v in low.items() if i <= 35}}
+    rows = [(1, "both", i, i / K.FPS, x, RY, z, 0.0, 0.0) for i, (x, z) in sorted(at.items())]
+    rows += [(1, "short", i, i / K.FPS, RX, RY, z, 0.0, 0.0) for i, z in enumerate([200.0, 400.0, 460.0, 390.0, 210.0])]
+    df = spark.createDataFrame(rows, SAMPLE)
+    got = {r.attempt: r for r in H.attempt_verdicts(df).collect()}
+    assert sorted(got) == [18, 54]
+    for apex in got:                                  # the same slice without the other attempt's rows
+        own = low if apex == 18 else high
+        alone = H.rescore(df.filter(F.col("frame").isin(list(own))), bounds=None).filter("shot = 'both'").first()
+        assert (got[apex].verdict_class, got[apex].rule) == (alone.verdict_class, alone.rule)
+    assert got[18].rule != got[54].rule
+
+
+def test_arbiter_takes_cues_from_the_chosen_source(spark):
+    """The second pass has four rows and no verdict: the first pass decides, and its rows give the cues."""
+    first = [(1, "a", i, i / K.FPS, RX - 6.0 * max(0, 30 - i), RY, 620 - 1.6 * (i - 18) ** 2, 0.0, 0.0) for i in range(36)]
+    hires = [(1, "a", i, i / K.FPS, RX, RY, 300.0 + 20 * i, 0.0, 0.0) for i in range(4)]
+    hires += [(1, "b", i, i / K.FPS, RX, RY, 9000.0, 0.0, 0.0) for i in range(5)]      # all out of court
+    hires += [(1, "c", 0, 0.0, RX, RY, 400.0, 0.0, 0.0)]
+    first, hires = (spark.createDataFrame(x, SAMPLE) for x in (first, hires))
+    got = {r.shot: r for r in arbiter(first, hires).collect()}
+    a = got["a"]
+    assert a.tri_verdict != "UND" and (a.n_l1, a.n_hr, a.n_used, a.hr_available) == (36, 4, 36, True)
+    assert a.apex_z == 620 and a.desc_n == 18 and abs(a.desc_max_gap - 1 / K.FPS) < 1e-9
+    assert (got["b"].n_hr, got["b"].n_used, got["b"].tri_verdict, got["b"].desc_n) == (5, 5, "UND", 0)
+    assert (got["c"].n_hr, got["c"].n_used, got["c"].hr_available, got["c"].apex_z) == (1, 0, False, -1)
+    preds = spark.createDataFrame([(1, "a", "FG_MAKE", 0, 0.25)], "game_id int, shot string, classification string, pred int, prob double")
+    p = with_predictions(arbiter(first, hires), preds).collect()
+    assert len(p) == 1 and (p[0].gt_make, p[0].fus_make, p[0].fus_prob, p[0].tri_und) == (True, False, 0.25, False)
+
+
 @pytest.mark.parametrize("fn,want", [(B.net_region, (96, 70, 48, 30)), (B.crop_region, (60, 20, 120, 100))])
 def test_regions_golden(spark, fn, want):
     df = spark.createDataFrame([(100.0, 50.0, 40.0, 20.0)], "rim_x double, rim_y double, rim_w double, rim_h double")
