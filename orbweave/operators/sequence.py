@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -167,10 +168,17 @@ def running_reference(rows: DataFrame, value: str, keys: Sequence[str], pos: str
                       keep: float = 0.95, name: str = "ema") -> DataFrame:
     """Exponential moving average after each row: first value, then keep*old + (1-keep)*new.
 
-    Weights older than 1,024 rows are below 1e-22, so parts with that halo give the full result.
+    ``keep`` lies above 0 and below 1.  A part's halo reaches back to weights of 1e-22, so parts give the full
+    result; parts are short enough for ``keep ** -row`` to stay a finite number.
     """
-    h, w = _framed(rows, keys, pos, 1024)
-    rel = (F.col(pos) - F.col("_part") * PART).cast("double")
+    if not 0.0 < keep < 1.0:
+        raise ValueError("keep must lie between 0 and 1")
+    fade = -math.log(keep)
+    halo = math.ceil(22 * math.log(10) / fade)
+    part = max(halo, 1, min(PART, int(600 / fade) - 2 * halo))
+    h = ordered.with_halo(rows, pos, part, halo)
+    w = Window.partitionBy(*keys, "_part").orderBy(pos)
+    rel = (F.col(pos) - F.col("_part") * part).cast("double")
     weight = F.when(F.col("_first") == F.col(pos), 1.0).otherwise(1.0 - keep)
     firsts = rows.groupBy(*keys).agg(F.min(pos).alias("_first"))
     h = attach(h, firsts, keys, [pos], "inner").withColumn("_rel", rel)

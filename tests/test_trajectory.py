@@ -142,6 +142,17 @@ def test_attempts_need_time_and_a_dip(spark):
 SAMPLE = "game_id int, shot string, frame long, t double, x double, y double, z double, nr_x double, nr_y double"
 
 
+@pytest.mark.parametrize("keep", [1e-6, 0.5, 0.87, 0.95, 0.999])
+def test_running_reference_of_a_long_track(spark, keep):
+    x = np.random.default_rng(3).normal(100, 10, 6000)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "k int, frame long, x double")
+    got = [r.ema for r in S.running_reference(df, "x", ["k"], "frame", keep).orderBy("frame").collect()]
+    want = [x[0]]
+    for v in x[1:]:
+        want.append(keep * want[-1] + (1 - keep) * v)
+    assert np.allclose(got, want, rtol=1e-9)
+
+
 def test_each_attempt_is_judged_from_its_own_apex(spark):
     """A low attempt that falls through the rim, and 1.2 s later a higher one that lands far behind it."""
     def fall(at, top, x_of):
