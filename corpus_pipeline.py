@@ -37,13 +37,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by near copies the one with the smallest id stays; documents without words all stay."""
+    """Of documents connected by near copies the one with the smallest id stays, also of those without words."""
     classes = chosenpath.similarity_classes(docs, "doc_id", "text").select(
         F.col("doc_id").alias("__id"), (F.col("doc_id") != F.col("class_id")).alias("__copy"))
     copies = classes.where("__copy").select("__id")
-    empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return docs.where(empty).select(*COLUMNS).unionByName(
-        docs.where(~empty).join(copies, F.col("doc_id") == F.col("__id"), "left_anti").select(*COLUMNS))
+    return docs.join(copies, F.col("doc_id") == F.col("__id"), "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

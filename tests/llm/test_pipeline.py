@@ -75,3 +75,9 @@ def test_registered():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert {"op3_line_dedup", "op5_nearest_neighbours", "op8_exact_dedup", "op9_ngram_jaccard"} <= set(entry.oracle_sql())
+
+
+def test_of_documents_without_words_one_stays(spark):
+    rows = [(7, "", "en", "s", 0), (3, " \n\t", "en", "s", 3), (5, None, "en", "s", 0), (9, "words that stay", "en", "s", 15)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert ids(corpus_pipeline.drop_near_copies(spark, docs, SF)) == [3, 9]
