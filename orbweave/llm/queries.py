@@ -64,7 +64,8 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_drop
 FROM documents LEFT JOIN o USING (doc_id)
 """)
 def _(spark, sf_dir):
-    kept = linetemplates.drop_recurring_lines(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    # the SQL twin has no templates for lines under five tokens
+    kept = linetemplates.drop_recurring_lines(_table(spark, sf_dir, "documents"), "doc_id", "text", least=5)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

@@ -100,6 +100,14 @@ def test_lines_keep_columns_and_one_copy(spark, verdicts):
     assert "ArrowEvalPython" not in df._jdf.queryExecution().toString() and "MapInArrow" not in df._jdf.queryExecution().toString()
 
 
+def test_short_lines_are_templates_too(spark, verdicts):
+    rows = [(1, "All rights reserved.\n12\n\nPage 3 of 9\n所有权利保留\n7 8"),
+            (2, "All  rights reserved.\n13\n\nPage 4 of 9\n所有权利保留\n7 9\nown"), (3, "12\n所有权利\n7 8\n ")]
+    got = {r["name"]: (r["verdict"], r["n_dropped"]) for r in linetemplates.drop_recurring_lines(verdicts(rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("13\n\n7 9\nown", 3), 3: ("所有权利\n ", 2)}
+    assert all(r["n_dropped"] == 0 for r in linetemplates.drop_recurring_lines(verdicts(rows), least=5).collect())
+
+
 # --- near copies -----------------------------------------------------------------------------------------
 
 def brute_near(rows):
