@@ -312,10 +312,18 @@ def _compare(rows: DataFrame, each: DataFrame, final: DataFrame, key: str, text:
                 sets.append(shingles(words).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(sets, pa.binary())],
                                              names=["digest", "tokens"])
+    def digest_of(batches):
+        for b in slices(batches):
+            digest = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), b.column(0)], names=["digest", "text"])
     # the texts needed again grow with the table: always joined by a shuffle, never sent to every task
-    needed = picked.select(F.col("rep").alias(key)).distinct().hint("merge")
-    sets = rows.select(key, text).join(needed, key, "left_semi").select(text).mapInArrow(
-        sets_of, "digest binary, tokens binary")
+    needed = picked.where("rep is not null").select(F.col("rep").alias(key)).distinct().hint("merge")
+    named = rows.select(key, text).join(needed, key, "left_semi").select(text)
+    # a text with null keys only has no rep: it is found by its digest, one row of each
+    unnamed = picked.where("rep is null").select("digest").distinct().hint("merge")
+    by_digest = rows.where(F.col(key).isNull()).select(text).mapInArrow(digest_of, "digest binary, text string").groupBy(
+        "digest").agg(F.first("text").alias(text)).join(unnamed, "digest", "left_semi").select(text)
+    sets = named.unionByName(by_digest).mapInArrow(sets_of, "digest binary, tokens binary")
 
     def verified(batches):
         for unit_, t in _units(batches):

@@ -170,6 +170,16 @@ def test_near_copies_in_split_and_tiled_buckets(spark, verdicts, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute_near(rows)
 
 
+def test_near_copies_of_null_keys(spark, verdicts):
+    """A text with null keys only links its neighbours, also where many rows have it."""
+    words = [f"n{i}" for i in range(76)]
+    chain = [" ".join(words[:n]) for n in (60, 68, 76)]
+    rows = [(40, chain[0]), *[(None, chain[1])] * 30, (41, chain[2]), (42, "a text of its own")]
+    got = chosenpath.similarity_classes(verdicts(rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_near(rows)
+    assert sum(r["n_links"] > 0 for r in got) == 32
+
+
 def test_near_empty(spark, verdicts):
     assert chosenpath.similarity_classes(verdicts([])).count() == 0
     assert chosenpath.similarity_classes(verdicts([(1, None), (2, "")])).count() == 2
