@@ -92,6 +92,17 @@ def _sampled(rows: DataFrame, bound: int, total: int, *by) -> DataFrame:
     return rows.where(place < int(min(1.0, 1.3 * bound / total) * (1 << 30)) + 1).orderBy(place, *by).limit(bound)
 
 
+def _sampled_found(rows: DataFrame, bound: int, total: int, key: str, text: str, features) -> DataFrame:
+    """What ``features`` finds in at most ``bound`` rows, picked by a hash of key and text: copies count by their share.
+
+    Texts never leave their tasks; the hash alone thins the rows before any are gathered.
+    """
+    place = F.pmod(F.xxhash64(key, text), F.lit(1 << 30))
+    share = int(min(1.0, 1.3 * bound / max(1, total)) * (1 << 30)) + 1
+    return rows.where(place < share).select(place.alias("place"), text).mapInArrow(
+        features, "place bigint, found array<int>").orderBy("place", "found").limit(bound)
+
+
 def fit(rows: DataFrame, labels: DataFrame, learn, label: str = "toxic", key: str = "name", text: str = "verdict",
         prior: float | None = None):
     """Words and weights learned from the texts that ``learn`` marks; ``None`` if no text is confirmed toxic.
@@ -128,27 +139,22 @@ def fit(rows: DataFrame, labels: DataFrame, learn, label: str = "toxic", key: st
 
     def features(batches):
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(
-                [[place[w] for w in word_set(t) & place.keys()] for t in texts(b.column(0))], pa.list_(pa.int32()))],
-                names=["found"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(
+                [[place[w] for w in word_set(t) & place.keys()] for t in texts(b.column(1))], pa.list_(pa.int32()))],
+                names=["place", "found"])
 
-    def matrix(sample):
-        rows_ = sample.select(text).mapInArrow(features, "found array<int>").collect()
+    def matrix(found):
+        rows_ = found.collect()
         x = np.zeros((len(rows_), len(words)), "f4")
         for i, r in enumerate(rows_):
             x[i, r["found"]] = 1
         return x
-    positive, unlabelled = matrix(toxic), matrix(_sampled_rows(training, UNLABELLED, n_u, text))
+    positive = matrix(toxic.select(F.lit(0).cast("long"), text).mapInArrow(features, "place bigint, found array<int>"))
+    unlabelled = matrix(_sampled_found(training, UNLABELLED, n_u, key, text, features))
     members = [fit_nnpu(positive, unlabelled, prior, seed=s) for s in range(MEMBERS)]
     return place, np.mean(members, axis=0)
 
 
-def _sampled_rows(rows: DataFrame, bound: int, total: int, text: str) -> DataFrame:
-    """A hash-thinned sample of about ``bound`` rows that never leaves its tasks as text."""
-    share = int(min(1.0, bound / max(1, total)) * (1 << 30)) + 1
-    return rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < share)
-
-
 def toxicity(rows: DataFrame, labels: DataFrame, learn, label: str = "toxic", key: str = "name", text: str = "verdict",
              keep: tuple[str, ...] = ()) -> DataFrame:
     """Probability that each whole verdict text is toxic: key, score (0 to 1), predicted (1 from 0.5 on).

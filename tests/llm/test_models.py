@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -236,3 +237,14 @@ def test_bounds_hold():
         x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(50, d)), rng.normal(size=(70, d)) ** 3))
         estimate, off = neighbours.tile_bounds(neighbours.quantise(x), neighbours.quantise(y))
         assert (np.abs(estimate - x @ y.T) <= off).all()
+
+
+def test_unlabelled_sample_is_bounded_and_takes_copies_by_share(spark, verdicts):
+    def lengths(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([[len(t)] for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["place", "found"])
+    rows = verdicts([(i, "copy" if i % 3 == 0 else f"text {i} of its own") for i in range(6000)])
+    got = [r["found"][0] for r in toxicity._sampled_found(rows, 600, 6000, "name", "verdict", lengths).collect()]
+    assert len(got) == 600
+    assert 140 < sum(n == 4 for n in got) < 260
