@@ -116,10 +116,50 @@ def best_fit(counts: dict[int, int], open_packs: dict[int, list], units: int) ->
     return [p for packs in open_packs.values() for p in packs]
 
 
-def plan(histogram: dict[int, int], units: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns with repeat counts that place every length of the histogram (in units) exactly once."""
-    left = {k: int(n) for k, n in histogram.items() if n}
+def _exact(pattern: tuple[int, ...], n: int, lengths: dict[int, list[list[int]]]):
+    """``n`` repeats of a pattern of rounded lengths with exact ones for them, longest first: (exact pattern, repeats).
+
+    ``lengths``: rounded length -> [exact length, pieces left], longest last; what is used is taken from it.  Each
+    entry but the last uses up one exact length, so there are at most as many entries more as lengths.
+    """
+    while n:
+        chosen, times = [], n
+        for k in set(pattern):
+            m = pattern.count(k)
+            length, left = lengths[k][-1]
+            if left >= m:
+                times = min(times, left // m)
+                chosen += [length] * m
+            else:                                    # the last ones of a length share a pack with the next length
+                times, need = 1, m
+                for length, left in reversed(lengths[k]):
+                    chosen += [length] * min(left, need)
+                    need -= min(left, need)
+                    if not need:
+                        break
+        for length in chosen:
+            k = next(k for k in set(pattern) if any(x[0] == length for x in lengths[k]))
+            entry = next(x for x in lengths[k] if x[0] == length)
+            entry[1] -= times
+            if not entry[1]:
+                lengths[k].remove(entry)
+        yield tuple(sorted(chosen, reverse=True)), times
+        n -= times
+
+
+def plan(histogram: dict[int, int], capacity: int, grain: int = 1) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with repeat counts that place every length of the histogram exactly once.
+
+    Lengths are rounded up to ``grain`` only where patterns are enumerated and fitted; what a pattern's exact lengths
+    leave open, and the rest, is filled by exact lengths.
+    """
+    exact: dict[int, list[list[int]]] = {}
+    for length in sorted(histogram):
+        if histogram[length]:
+            exact.setdefault(-(-length // grain), []).append([length, int(histogram[length])])
+    left = {k: sum(n for _, n in entries) for k, entries in exact.items()}
     packs: dict[int, list] = {}
+    units = capacity // grain
     if left:
         present = np.array(sorted(left))
         found = patterns_of(present, units)
@@ -138,11 +178,12 @@ def plan(histogram: dict[int, int], units: int) -> list[tuple[tuple[int, ...], i
                 if n > 0:
                     for k, m in need.items():
                         left[k] -= n * m
-                    packs.setdefault(0, []).append((pattern, n))
-    return best_fit({k: n for k, n in left.items() if n}, packs, units)
+                    for lengths, times in _exact(pattern, n, exact):
+                        packs.setdefault(capacity - sum(lengths), []).append((lengths, times))
+    return best_fit({length: n for entries in exact.values() for length, n in entries}, packs, capacity)
 
 
-def slots(patterns: list[tuple[tuple[int, ...], int]], units: int):
+def slots(patterns: list[tuple[tuple[int, ...], int]]):
     """Per length: first rank, first sequence and place of each run of equal slots; ranks run from 0."""
     runs: dict[int, list[tuple[int, int, int]]] = {}
     used: dict[int, int] = {}
@@ -157,11 +198,11 @@ def slots(patterns: list[tuple[tuple[int, ...], int]], units: int):
 
 # --- on Spark --------------------------------------------------------------------------------------------
 
-def pieces_of(rows: DataFrame, tokenizer: str, key: str = "name", text: str = "verdict", capacity: int = CAPACITY,
-              grain: int = GRAIN) -> DataFrame:
-    """Token pieces of every text: key, piece, start, length, ids_crc32, unit (rounded length), task, nth.
+def pieces_of(rows: DataFrame, tokenizer: str, key: str = "name", text: str = "verdict",
+              capacity: int = CAPACITY) -> DataFrame:
+    """Token pieces of every text: key, piece, start, length, ids_crc32, task, nth.
 
-    ``nth`` counts the pieces of a unit within a task, so that ranks need no sort.
+    ``nth`` counts the pieces of a length within a task, so that ranks need no sort.
     """
     kind = rows.schema[key].dataType.simpleString()
     end = np.array([END_ID], "<u4").tobytes()
@@ -169,23 +210,23 @@ def pieces_of(rows: DataFrame, tokenizer: str, key: str = "name", text: str = "v
     def run(batches):
         encoder, task, seen = word_ids(tokenizer), TaskContext.get().partitionId(), {}
         for b in slices(batches, 256):
-            out = [[], [], [], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for k, ids in zip(b.column(0).to_pylist(), encoder.encode_all(list(texts(b.column(1))))):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
-                    unit = -(-len(part) // (4 * grain))
-                    nth = seen.get(unit, 0)
-                    seen[unit] = nth + 1
-                    for column, v in zip(out, (k, piece, at // 4, len(part) // 4, zlib.crc32(part), unit, nth)):
+                    length = len(part) // 4
+                    nth = seen.get(length, 0)
+                    seen[length] = nth + 1
+                    for column, v in zip(out, (k, piece, at // 4, length, zlib.crc32(part), nth)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([
                 pa.array(out[0], b.schema.field(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()),
-                pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int32()),
-                pa.array(out[6], pa.int64()), pa.array([task] * len(out[0]), pa.int32())],
-                names=["key", "piece", "start", "length", "ids_crc32", "unit", "nth", "task"])
+                pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64()),
+                pa.array([task] * len(out[0]), pa.int32())],
+                names=["key", "piece", "start", "length", "ids_crc32", "nth", "task"])
     return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        run, f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, unit int, nth bigint, task int")
+        run, f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, nth bigint, task int")
 
 
 def pack(rows: DataFrame, tokenizer: str, key: str = "name", text: str = "verdict", capacity: int = CAPACITY,
@@ -196,37 +237,37 @@ def pack(rows: DataFrame, tokenizer: str, key: str = "name", text: str = "verdic
     key, piece, start, length, ids_crc32, sequence_id, offset.  Null or empty texts are one piece of length 1;
     repeated rows are packed each; an empty table gives none; other columns are not read.
 
-    The histogram of lengths (at most ``capacity / grain`` numbers) is all the driver sees.  Patterns of up to three
+    The histogram of lengths (at most ``capacity`` numbers) is all the driver sees.  Patterns of up to three
     lengths that fill a sequence are fitted to it by non-negative least squares, counts are rounded down, and what
     is left goes best-fit-decreasing into patterns and new sequences.  The plan has one entry per distinct pattern,
-    a number bounded by the histogram, not by the rows.  Rounding lengths up costs under ``grain`` tokens a piece.
+    a number bounded by the histogram, not by the rows.  ``grain`` rounds lengths only while patterns are enumerated and
+    fitted; space is counted in exact lengths.
     """
-    units = capacity // grain
     if capacity % grain:
         raise ValueError("capacity must be a multiple of grain")
-    parts = written(pieces_of(rows, tokenizer, key, text, capacity, grain), "pieces")
-    counts = written(parts.groupBy("unit", "task").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
-    histogram = {r["unit"]: r["n"] for r in counts.groupBy("unit").agg(F.sum("n").alias("n")).collect()}
-    runs = slots(plan(histogram, units), units)
-    before = counts.select("unit", "task", (F.sum("n").over(
-        Window.partitionBy("unit").orderBy("task")) - F.col("n")).alias("before"))
-    ranked = parts.join(before, ["unit", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    parts = written(pieces_of(rows, tokenizer, key, text, capacity), "pieces")
+    counts = written(parts.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    runs = slots(plan(histogram, capacity, grain))
+    before = counts.select("length", "task", (F.sum("n").over(
+        Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
+    ranked = parts.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
 
     def place(batches):
         for b in batches:
-            unit, rank = b.column("unit").to_numpy(), b.column("rank").to_numpy()
-            sequence, slot = np.zeros(len(unit), "i8"), np.zeros(len(unit), "i8")
-            order = np.argsort(unit, kind="stable")
-            firsts = np.flatnonzero(np.diff(unit[order], prepend=-1))
+            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            sequence, slot = np.zeros(len(length), "i8"), np.zeros(len(length), "i8")
+            order = np.argsort(length, kind="stable")
+            firsts = np.flatnonzero(np.diff(length[order], prepend=-1))
             for mine in np.split(order, firsts[1:]) if len(order) else []:
-                run = runs[int(unit[mine[0]])]
+                run = runs[int(length[mine[0]])]
                 at = np.searchsorted(run[:, 0], rank[mine], side="right") - 1
                 sequence[mine], slot[mine] = run[at, 1] + rank[mine] - run[at, 0], run[at, 2]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in ("key", "piece", "start", "length", "ids_crc32")), pa.array(sequence),
                  pa.array(slot)], names=["key", "piece", "start", "length", "ids_crc32", "sequence_id", "slot"])
     kind = rows.schema[key].dataType.simpleString()
-    placed = ranked.select("key", "piece", "start", "length", "ids_crc32", "unit", "rank").mapInArrow(
+    placed = ranked.select("key", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         place, f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, slot bigint")
     earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select(

@@ -1,6 +1,7 @@
 """Byte-level BPE, token files and packing against the tokenizer libraries."""
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -241,3 +242,23 @@ def test_pack_many(spark, verdicts, library):
     rows = [(i, " ".join(["rim"] * int(k))) for i, k in enumerate(rng.integers(0, 60, 900))] + [(1000 + i, "net") for i in range(400)]
     n, total = check_packing(packing.pack(verdicts(rows), WORDS, capacity=64, grain=1).collect(), rows, library, 64)
     assert n <= -(-total // 64) * 1.02
+
+
+def test_short_pieces_take_only_their_tokens(spark, verdicts):
+    got = packing.pack(verdicts([(i, None if i % 2 else "") for i in range(4096)]), WORDS).collect()
+    assert {r["sequence_id"] for r in got} == {0}
+    assert sorted(r["offset"] for r in got) == list(range(4096))
+
+
+def test_plan_places_every_exact_length_once():
+    rng = np.random.default_rng(3)
+    histogram = dict(Counter(np.minimum(4096, rng.lognormal(6, 1.2, 20_000).astype(int) + 1).tolist()))
+    placed, packs = Counter(), 0
+    for pattern, n in packing.plan(histogram, 4096, 8):
+        assert sum(pattern) <= 4096
+        packs += n
+        for k in pattern:
+            placed[k] += n
+    assert placed == histogram
+    need = -(-sum(k * n for k, n in histogram.items()) // 4096)
+    assert packs <= need + max(1, need // 500)
