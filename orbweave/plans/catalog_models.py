@@ -98,7 +98,7 @@ def model_rows(s, d):
 def _(s, d):
     """Model and threshold chosen on val, refit, one test evaluation."""
     return Y.select_refit_test(model_rows(s, d), {
-        "logistic": Y.logistic(FEATS), "boosted": Y.boosted(FEATS, 3, 0.08, 10)})
+        "logistic": Y.logistic(FEATS), "boosted": Y.boosted(FEATS, 3, 0.08, 300)})
 
 
 @query("group_cv")
@@ -110,7 +110,7 @@ def _(s, d):
 @query("gbt_logo")
 def _(s, d):
     """Leave-one-game-out boosted trees with an inner validation game."""
-    return Y.leave_one_game_out(model_rows(s, d), Y.boosted(FEATS, 3, 0.08, 5))
+    return Y.leave_one_game_out(model_rows(s, d), Y.boosted(FEATS, 3, 0.08, 500))
 
 
 @query("logo_summary")
@@ -135,7 +135,7 @@ def _(s, d):
 def _(s, d):
     """F1 lost per permuted column."""
     r = model_rows(s, d)
-    return Y.permutation_importance(Y.fit(Y.logistic(FEATS), r), r, FEATS, repeats=1)
+    return Y.permutation_importance(Y.fit(Y.logistic(FEATS), r), r, FEATS, repeats=10)
 
 
 @query("stack_logo")

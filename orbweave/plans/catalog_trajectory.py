@@ -246,13 +246,13 @@ def _(s, d):
 
 @query("offset_sweep")
 def _(s, d):
-    """Best camera offset per throw over five candidate offsets, truncated median per game."""
+    """Best camera offset per throw over the candidate offsets 0 to 25, truncated median per game."""
     lm = landmarks(s, d)
     a = lm.select("game_id", "shot", "frame", F.col("fr_x").alias("px"), F.col("fr_y").alias("py"))
     b = lm.select("game_id", "shot", (F.col("frame") + 2).alias("frame"), F.col("nr_x").alias("px"),
                   F.col("nr_y").alias("py"))
     cal = cameras(lm.select("game_id").distinct())
-    best = H.offset_sweep(a, b, cal, ["game_id", "shot"], range(0, 5))
+    best = H.offset_sweep(a, b, cal, ["game_id", "shot"], range(0, 26))
     from orbweave.functions.quantiles import medians
     n = best.groupBy("game_id").agg(F.count(F.lit(1)).alias("n_shots"))
     m = medians(best, ["game_id"], ["offset"])
