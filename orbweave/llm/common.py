@@ -38,6 +38,15 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
+def utf8(data: bytes) -> bytes:
+    """The bytes, with U+FFFD for what is not UTF-8."""
+    try:
+        data.decode()
+        return data
+    except UnicodeDecodeError:
+        return data.decode("utf-8", "replace").encode()
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches cut into short ones, so that a task holds few texts at a time."""
     for batch in batches:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orbweave.llm import bytebpe, chosenpath, exact, langid, linetemplates, lm, neighbours, packing, tokenfiles, toxicity
+from orbweave.llm import (bytebpe, chosenpath, exact, langid, linetemplates, lm, neighbours, packing, phrases, repeats, tokenfiles,
+                          toxicity, whitening)
 from orbweave.llm.common import fold
 
 QUERIES: dict = {}
@@ -140,3 +141,55 @@ def _(spark, sf_dir):
     scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"),
                                lambda key: F.coalesce(fold(key) != 0, F.lit(False)), "toxic", "doc_id", "text")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@_query("op11_repeats", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, c, substr(h, 2000 * c + 1, 2098) AS h FROM d, unnest(range(0, greatest(0, len(h) // 2 - 50) // 1000 + 1)) AS u(c)),
+g AS (SELECT doc_id, 1000 * c + i AS at, substr(h, 2 * i + 1, 100) AS w FROM c, unnest(range(0, least(1000, len(h) // 2 - 49))) AS u(i)),
+m AS (SELECT doc_id, at FROM g QUALIFY min(doc_id) OVER (PARTITION BY w) < doc_id),
+s AS (SELECT doc_id, at, CASE WHEN at > lag(at) OVER w + 50 OR lag(at) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM m
+  WINDOW w AS (PARTITION BY doc_id ORDER BY at)),
+n AS (SELECT doc_id, at, sum(fresh) OVER (PARTITION BY doc_id ORDER BY at) AS k FROM s),
+r AS (SELECT doc_id, k, min(at) AS a, max(at) + 50 AS b FROM n GROUP BY ALL),
+p AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER w, 0) AS before, lead(a) OVER w IS NULL AS last FROM r
+  WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+o AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)) || CASE WHEN last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY k) AS kept
+  FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+""")
+def _(spark, sf_dir):
+    kept = repeats.drop_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text", 50)
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op12_phrases", r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+z AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS k), unnest(range(1, len(w) - k + 2)) AS u(i) GROUP BY ALL),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS q FROM g WHERE k > 1 AND f >= 30),
+x AS (SELECT c.lang, c.phrase, c.f AS a, i, gl.f AS l, gr.f AS r,
+    CAST(CAST(c.f AS HUGEINT) * 2000000 // (gl.f + gr.f) AS BIGINT) AS score
+  FROM c, unnest(range(1, k)) AS u(i)
+  JOIN g gl ON gl.lang = c.lang AND gl.phrase = array_to_string(q[1 : i], ' ')
+  JOIN g gr ON gr.lang = c.lang AND gr.phrase = array_to_string(q[i + 1 : ], ' ')),
+m AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+s AS (SELECT lang, array_to_string(q[i : i + n - 1], ' ') AS phrase, max(f) AS longer
+  FROM c, (SELECT unnest([2, 3]) AS n), unnest(range(1, k - n + 2)) AS u(i) WHERE n < k GROUP BY ALL)
+SELECT m.lang, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, encode(m.phrase)) AS rank, m.phrase, a, l, r, z.n, score
+FROM m JOIN z ON z.lang = m.lang LEFT JOIN s ON s.lang = m.lang AND s.phrase = m.phrase
+WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000
+""")
+def _(spark, sf_dir):
+    return phrases.collocations(_table(spark, sf_dir, "documents"), "lang", "text", 30, 2000)
+
+
+@_query("op13_whitening")
+def _(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 32)
