@@ -146,12 +146,12 @@ def _(spark, sf_dir):
 @_query("op11_repeats", """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 c AS (SELECT doc_id, c, substr(h, 2000 * c + 1, 2098) AS h FROM d, unnest(range(0, greatest(0, len(h) // 2 - 50) // 1000 + 1)) AS u(c)),
-g AS (SELECT doc_id, 1000 * c + i AS at, substr(h, 2 * i + 1, 100) AS w FROM c, unnest(range(0, least(1000, len(h) // 2 - 49))) AS u(i)),
-m AS (SELECT doc_id, at FROM g QUALIFY min(doc_id) OVER (PARTITION BY w) < doc_id),
-s AS (SELECT doc_id, at, CASE WHEN at > lag(at) OVER w + 50 OR lag(at) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM m
-  WINDOW w AS (PARTITION BY doc_id ORDER BY at)),
-n AS (SELECT doc_id, at, sum(fresh) OVER (PARTITION BY doc_id ORDER BY at) AS k FROM s),
-r AS (SELECT doc_id, k, min(at) AS a, max(at) + 50 AS b FROM n GROUP BY ALL),
+g AS (SELECT doc_id, 1000 * c + i AS z, substr(h, 2 * i + 1, 100) AS w FROM c, unnest(range(0, least(1000, len(h) // 2 - 49))) AS u(i)),
+m AS (SELECT doc_id, z FROM g QUALIFY min(doc_id) OVER (PARTITION BY w) < doc_id),
+s AS (SELECT doc_id, z, CASE WHEN z > lag(z) OVER w + 50 OR lag(z) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM m
+  WINDOW w AS (PARTITION BY doc_id ORDER BY z)),
+n AS (SELECT doc_id, z, sum(fresh) OVER (PARTITION BY doc_id ORDER BY z) AS k FROM s),
+r AS (SELECT doc_id, k, min(z) AS a, max(z) + 50 AS b FROM n GROUP BY ALL),
 p AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER w, 0) AS before, lead(a) OVER w IS NULL AS last FROM r
   WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
 o AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
