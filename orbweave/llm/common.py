@@ -29,7 +29,17 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete intermediates of :func:`written` that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(column: pa.Array) -> Iterator[bytes]:

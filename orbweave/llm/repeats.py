@@ -6,19 +6,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from orbweave.llm.common import join_back, slices, written
+from orbweave.llm.common import discard, join_back, slices, written
 from orbweave.llm.sieve import BYTE_POWERS, BYTES, Prefix, held, mix, sieve
 
 SPAN = 50                  # bytes of a repeated string
-GRAM = 12                  # bytes of an anchor
+GRAM = 16                  # bytes of an anchor
 RUN = 64                   # most starts in one segment
 BLOCK = 1 << 20            # bytes of text looked at at once
 PRINTS = 1 << 20           # anchors counted at once
 BUCKET = 1 << 20           # bytes of segments whose transforms are merged by one task
-SHARDS = 4                 # transforms of a bucket, each built by a task of its own
+SHARDS = 2                 # transforms of a bucket, each built by a task of its own
 LEVELS = 8                 # times that the segments of a hot anchor are dealt out anew
 
 
@@ -127,7 +127,7 @@ def transform(parts: list[bytes]) -> np.ndarray:
     start = np.zeros(n, bool)
     start[np.append(0, stops[:-1] + 1)] = True
     before[start[order]] = 0
-    return before
+    return before.astype("u1") if before.max() < 256 else before
 
 
 def walk(bwt: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,15 +154,14 @@ def interleave(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.nda
     Ends of strings differ from each other.
     """
     joined = np.concatenate(shards)
-    if joined.max(initial=0) < 256:
-        joined = joined.astype("u1")
     source = np.repeat(np.arange(len(shards), dtype="u1"), [len(s) for s in shards])
     ends = int((joined == 0).sum())
     lead = np.repeat(np.arange(len(shards), dtype="u1"), [int((s == 0).sum()) for s in shards])
     interval = np.zeros(len(joined), "i4")
     symbol = np.empty_like(joined)
     for _ in range(depth):
-        symbol[np.argsort(source, kind="stable")] = joined
+        for s, bwt in enumerate(shards):
+            symbol[source == s] = bwt
         deal = np.argsort(symbol, kind="stable")[ends:]
         c, old = symbol[deal], interval[deal]
         cut = np.ones(len(deal), bool)
@@ -202,23 +201,32 @@ def _batch(columns: dict, types: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, types.get(n)) for n, v in columns.items()], names=list(columns))
 
 
+def place_of(anchor: np.ndarray) -> np.ndarray:
+    """The 44 bits of an anchor by which repeats are looked for: 12 for the bucket, 32 inside it."""
+    return mix(anchor) >> np.uint64(20)
+
+
 def _repeated_anchors(texts: DataFrame, span: int) -> DataFrame:
-    """Anchors that texts of different keys share: fp."""
-    kind = texts.schema["key"].dataType
-    types = {"lo": to_arrow_type(kind), "hi": to_arrow_type(kind)}
+    """Anchors that texts of different keys may share: fp (by :func:`place_of`).
 
+    A task hands on the sorted anchors of each million it has met, once each, and those of several keys again.  What
+    comes in twice from anywhere may be shared; too many cost time only.
+    """
     def run(batches):
         kept, size = [], 0
 
         def counted():
-            anchors, names = np.concatenate([b.anchor for b in kept]), sorted({k for b in kept for k in b.names})
-            number = {k: i for i, k in enumerate(names)}
-            keys = np.concatenate([np.array([number[k] for k in b.names], "i8")[b.key] for b in kept])
+            anchors, names = place_of(np.concatenate([b.anchor for b in kept])), {}
+            keys = np.concatenate([np.array([names.setdefault(k, len(names)) for k in b.names], "i8")[b.key] for b in kept])
             order = np.lexsort((keys, anchors))
             a, k = anchors[order], keys[order]
             edge = np.append(True, a[1:] != a[:-1])
-            lo, hi = k[edge], k[np.append(edge[1:], True)]
-            return _batch({"fp": a[edge].view("i8"), "lo": [names[i] for i in lo.tolist()], "hi": [names[i] for i in hi.tolist()]}, types)
+            other = np.flatnonzero(~edge[1:] & (k[1:] != k[:-1])) + 1
+            out = np.sort(np.concatenate([a[edge], np.unique(a[other])]))
+            bucket = (out >> np.uint64(32)).astype("i4")
+            at = np.flatnonzero(np.diff(bucket, prepend=-1))
+            low = out.astype("u4")
+            return _batch({"bucket": bucket[at], "blob": [x.tobytes() for x in np.split(low, at[1:])]}, {"blob": pa.binary()})
         for block in blocks(batches, span):
             if len(block.anchor):
                 kept.append(block)
@@ -229,14 +237,17 @@ def _repeated_anchors(texts: DataFrame, span: int) -> DataFrame:
                     kept, size = [], 0
         if kept:
             yield counted()
-    k = kind.simpleString()
-    return texts.mapInArrow(run, f"fp bigint, lo {k}, hi {k}").groupBy("fp").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("fp")
+
+    def twice(t: pa.Table) -> pa.Table:
+        low = np.sort(np.concatenate([np.frombuffer(v.as_buffer(), "u4") for v in t["blob"]]))
+        again = np.unique(low[1:][low[1:] == low[:-1]]).astype("u8")
+        return pa.table({"fp": (again | np.uint64(t["bucket"][0].as_py() << 32)).view("i8")})
+    return texts.mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(twice, "fp bigint")
 
 
 def _occurrences(texts: DataFrame, bits, span: int) -> DataFrame:
-    """Segments around repeated anchors: fp, digest, key, text_hash, at; the first of equal ones in a block also has
-    its bytes (part), the smallest key there (low) and their number (copies)."""
+    """Segments around repeated anchors: digest, key, text_hash, at; the first of equal ones in a block also has the
+    anchor (fp), its bytes (part), the smallest key there (low) and their number (copies)."""
     kind = texts.schema["key"].dataType
     types = {"part": pa.binary(), "digest": pa.binary(), "key": to_arrow_type(kind), "low": to_arrow_type(kind),
              "fp": pa.int64(), "text_hash": pa.int64(), "at": pa.int64(), "copies": pa.int64()}
@@ -246,7 +257,7 @@ def _occurrences(texts: DataFrame, bits, span: int) -> DataFrame:
             seen: dict[bytes, list] = {}
             out: dict[str, list] = {n: [] for n in ("fp", "digest", "key", "text_hash", "at", "part", "low", "copies")}
             first = np.append(0, block.stops[:-1])
-            mine = np.flatnonzero(held(bits.value, block.anchor))
+            mine = np.flatnonzero(held(bits.value, place_of(block.anchor)))
             row = block.row[mine]
             start, anchor = block.start[mine], block.anchor[mine]
             stop = (start + block.count[mine] + span - 1).tolist()
@@ -254,20 +265,19 @@ def _occurrences(texts: DataFrame, bits, span: int) -> DataFrame:
                 part, source = block.raw[s:e], block.rows[r]
                 known = seen.get(part)
                 if known is None:
-                    known = seen[part] = [digest_of(fp, part), len(out["fp"])]
-                    for n, v in (("part", part), ("low", source[0]), ("copies", 0)):
+                    known = seen[part] = [digest_of(fp, part), len(out["at"])]
+                    for n, v in (("fp", fp - (1 << 64) if fp >> 63 else fp), ("part", part), ("low", source[0]), ("copies", 0)):
                         out[n].append(v)
                 else:
-                    for n in ("part", "low", "copies"):
+                    for n in ("fp", "part", "low", "copies"):
                         out[n].append(None)
                     out["low"][known[1]] = min(out["low"][known[1]], source[0])
                 out["copies"][known[1]] += 1
-                out["fp"].append(fp - (1 << 64) if fp >> 63 else fp)
                 out["digest"].append(known[0])
                 out["key"].append(source[0])
                 out["text_hash"].append(source[1])
                 out["at"].append(source[2] + at)
-            if out["fp"]:
+            if out["at"]:
                 yield _batch(out, types)
     k = kind.simpleString()
     return texts.mapInArrow(run, f"fp bigint, digest binary, key {k}, text_hash bigint, at bigint, part binary, low {k}, copies bigint")
@@ -310,8 +320,9 @@ def _merged(units: DataFrame, span: int, total: int) -> DataFrame:
 
     def build(t: pa.Table) -> pa.Table:
         parts = t["part"].to_pylist()
+        bwt = transform(parts)
         return pa.table({
-            "bucket": t["bucket"][:1], "shard": t["shard"][:1], "bwt": pa.array([transform(parts).tobytes()], pa.binary()),
+            "bucket": t["bucket"][:1], "shard": t["shard"][:1], "bwt": pa.array([bwt.tobytes()], pa.binary()), "width": pa.array([bwt.itemsize], pa.int32()),
             "sizes": pa.array([[len(p) for p in parts]], pa.list_(pa.int32())),
             "digests": pa.array([t["digest"].to_pylist()], pa.list_(pa.binary())),
             "lows": pa.array([t["low"].to_pylist()], pa.list_(low)), "copies": pa.array([t["copies"].to_pylist()], pa.list_(pa.int64()))})
@@ -324,7 +335,7 @@ def _merged(units: DataFrame, span: int, total: int) -> DataFrame:
         names = sorted(set(values))
         number = {v: i for i, v in enumerate(names)}
         own = np.array([number[v] for v in values])
-        string, off, count, best = repeated_runs([np.frombuffer(r["bwt"], "u2") for r in rows],
+        string, off, count, best = repeated_runs([np.frombuffer(r["bwt"], f"u{r['width']}") for r in rows],
                                                  [np.array(r["sizes"], "i8") for r in rows], own, span)
         useful = (best < own[string]) | (np.array(copies)[string] > 1)
         out: dict[int, list] = {}
@@ -333,47 +344,51 @@ def _merged(units: DataFrame, span: int, total: int) -> DataFrame:
         return pa.table({"digest": pa.array([digests[s] for s in out], pa.binary()), "runs": pa.array(list(out.values()), run_type),
                          "copies": pa.array([copies[s] for s in out], pa.int64())})
     shards = dealt.groupBy("bucket", "shard").applyInArrow(
-        build, f"bucket bigint, shard int, bwt binary, sizes array<int>, digests array<binary>, lows array<{k}>, copies array<bigint>")
+        build, f"bucket bigint, shard int, bwt binary, width int, sizes array<int>, digests array<binary>, lows array<{k}>, copies array<bigint>")
     return shards.groupBy("bucket").applyInArrow(merge, f"digest binary, runs array<struct<off: int, n: int, low: {k}>>, copies bigint")
 
 
-def _grouped(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("part").alias("part"), F.min("low").alias("low"),
-                                       F.sum("copies").alias("copies"))
-
-
 def repeated_starts(texts: DataFrame, span: int = SPAN) -> DataFrame:
     """Starts of strings of ``span`` bytes that a smaller key has too: key, text_hash, start, n (starts in a row).
 
-    ``texts``: key, text_hash, text (binary).  Strings can only repeat where their anchor does, so segments around anchors
-    of one key alone are not looked at.  Equal segments are held once with their smallest key.  Segments of an anchor
-    that has more than a bucket of them are dealt out again by other hashes of what they hold.
+    ``texts``: key, text_hash, text (binary).  Equal strings have equal anchors.  So segments around anchors of one key
+    alone are not looked at, equal segments are held once with their smallest key, and a segment that is the only one
+    of its anchor shares no string with another; the transforms are built of all others.  Segments of an anchor that has
+    more than a bucket of them are dealt out again by other hashes of what they hold.
     """
     anchors = written(_repeated_anchors(texts, span), "anchors")
     bits = texts.sparkSession.sparkContext.broadcast(sieve(anchors))
     found = written(_occurrences(texts, bits, span), "segments")
-    units = written(_grouped(found.where(F.col("part").isNotNull())), "units")
-    links = []
+    parts, links, passing = found.where(F.col("part").isNotNull()).select("fp", "digest", "part", "low", "copies"), [], [anchors]
     for level in range(1, LEVELS + 1):
-        hot = units.groupBy("fp").agg(F.sum(F.length("part")).alias("b")).where(F.col("b") > BUCKET).select("fp")
-        hot = written(hot, "hot-anchors")                        # at most bytes / BUCKET rows
+        hot = written(parts.groupBy("fp").agg(F.sum(F.length("part")).alias("b")).where(F.col("b") > BUCKET).select("fp"),
+                      "hot-anchors")                             # at most bytes / BUCKET rows
+        passing.append(hot)
         if hot.isEmpty():
             break
-        anew = written(_dealt_anew(units.join(F.broadcast(hot), "fp"), span, level), "dealt-anew")
-        links.append(anew.select("owner", "off", "copies", "digest"))
-        units = written(units.join(F.broadcast(hot), "fp", "left_anti").select("digest", "fp", "part", "low", "copies")
-                        .unionByName(_grouped(anew)), "units")
-    total = units.agg(F.coalesce(F.sum(F.length("part")), F.lit(0))).first()[0]
-    runs = _merged(units, span, total)
+        anew = written(_dealt_anew(parts.join(F.broadcast(hot), "fp"), span, level), "dealt-anew")
+        links.append(anew.select("owner", "off", "digest").distinct())
+        parts = parts.join(F.broadcast(hot), "fp", "left_anti").unionByName(anew.select("fp", "digest", "part", "low", "copies"))
+    units = written(
+        parts.repartition("fp").groupBy("fp", "digest").agg(
+            F.first("part").alias("part"), F.min("low").alias("low"), F.sum("copies").alias("copies"))
+        .withColumn("variants", F.count(F.lit(1)).over(Window.partitionBy("fp"))), "units")
+    passing.append(units)
+    several = units.where("variants > 1")
+    total = several.agg(F.coalesce(F.sum(F.length("part")), F.lit(0))).first()[0]
+    alone = units.where("variants = 1 AND copies > 1").select("digest", F.array(F.struct(
+        F.lit(0).alias("off"), (F.length("part") - (span - 1)).alias("n"), "low")).alias("runs"), "copies")
+    runs = written(_merged(several, span, total).unionByName(alone), "runs")
     if links:
-        runs = written(runs, "runs")
-    for link in reversed(links):
-        moved = link.withColumnRenamed("copies", "c").join(runs.select("digest", F.col("runs").alias("r")), "digest").select(
-            "owner", "c", F.expr("transform(r, x -> struct(x.off + off AS off, x.n AS n, x.low AS low))").alias("r"))
-        runs = runs.unionByName(moved.groupBy(F.col("owner").alias("digest")).agg(
-            F.flatten(F.collect_list("r")).alias("runs"), F.first("c").alias("copies")))
-    n_found = found.count()
-    places = join_back(found.select("digest", "key", "text_hash", "at"), written(runs, "repeats"), "digest", "copies", n_found)
+        copies = found.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+        for link in reversed(links):
+            moved = link.join(runs.select("digest", F.col("runs").alias("r")), "digest").select(
+                "owner", F.expr("transform(r, x -> struct(x.off + off AS off, x.n AS n, x.low AS low))").alias("r"))
+            runs = runs.select("digest", "runs").unionByName(moved.groupBy(F.col("owner").alias("digest")).agg(
+                F.flatten(F.collect_list("r")).alias("runs")))
+        runs = written(runs.join(copies, "digest"), "runs")
+    discard(*passing)
+    places = join_back(found.select("digest", "key", "text_hash", "at"), runs, "digest", "copies", found.count())
     return places.select("key", "text_hash", "at", F.explode("runs").alias("r")).where(F.col("r.low") < F.col("key")).select(
         "key", "text_hash", (F.col("at") + F.col("r.off")).alias("start"), F.col("r.n").alias("n"))
 
