@@ -360,19 +360,31 @@ def repeated_starts(texts: DataFrame, span: int = SPAN) -> DataFrame:
     bits = texts.sparkSession.sparkContext.broadcast(sieve(anchors))
     found = written(_occurrences(texts, bits, span), "segments")
     parts, links, passing = found.where(F.col("part").isNotNull()).select("fp", "digest", "part", "low", "copies"), [], [anchors]
-    for level in range(1, LEVELS + 1):
-        hot = written(parts.groupBy("fp").agg(F.sum(F.length("part")).alias("b")).where(F.col("b") > BUCKET).select("fp"),
-                      "hot-anchors")                             # at most bytes / BUCKET rows
-        passing.append(hot)
-        if hot.isEmpty():
-            break
-        anew = written(_dealt_anew(parts.join(F.broadcast(hot), "fp"), span, level), "dealt-anew")
-        links.append(anew.select("owner", "off", "digest").distinct())
-        parts = parts.join(F.broadcast(hot), "fp", "left_anti").unionByName(anew.select("fp", "digest", "part", "low", "copies"))
+
+    def once(df):
+        return df.groupBy("fp", "digest").agg(F.first("part").alias("part"), F.min("low").alias("low"), F.sum("copies").alias("copies"))
+
+    def too_many(df):
+        """Anchors with more than a bucket of segments: at most bytes / BUCKET rows."""
+        passing.append(written(df.groupBy("fp").agg(F.sum(F.length("part")).alias("b")).where(F.col("b") > BUCKET).select("fp"), "hot"))
+        return F.broadcast(passing[-1]), not passing[-1].isEmpty()
+    hot, some = too_many(parts)
+    if some:
+        hot_parts = written(once(parts.join(hot, "fp")), "hot-segments")
+        passing.append(hot_parts)
+        parts = parts.join(hot, "fp", "left_anti")
+        for level in range(1, LEVELS + 1):
+            hot, some = too_many(hot_parts)
+            if not some:
+                break
+            anew = written(_dealt_anew(hot_parts.join(hot, "fp"), span, level), "dealt-anew")
+            links.append(anew.select("owner", "off", "digest"))
+            parts = parts.unionByName(hot_parts.join(hot, "fp", "left_anti"))
+            hot_parts = written(once(anew.select("fp", "digest", "part", "low", "copies")), "hot-segments")
+            passing.append(hot_parts)
+        parts = parts.unionByName(hot_parts)
     units = written(
-        parts.repartition("fp").groupBy("fp", "digest").agg(
-            F.first("part").alias("part"), F.min("low").alias("low"), F.sum("copies").alias("copies"))
-        .withColumn("variants", F.count(F.lit(1)).over(Window.partitionBy("fp"))), "units")
+        once(parts.repartition("fp")).withColumn("variants", F.count(F.lit(1)).over(Window.partitionBy("fp"))), "units")
     passing.append(units)
     several = units.where("variants > 1")
     total = several.agg(F.coalesce(F.sum(F.length("part")), F.lit(0))).first()[0]
