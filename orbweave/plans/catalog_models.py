@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbweave.functions import ordered
-from orbweave.operators import evaluate as E, learn as Y, signal as G, spotting as P
+from orbweave.functions import fixed as K
+from orbweave.operators import boost, evaluate as E, learn as Y, shotmodel, signal as G, spotting as P, trajectory as H
 from orbweave.plans.catalog_decide import predicted, split_by_game
-from orbweave.plans.inputs import SCORED_CTE, scored
+from orbweave.plans.inputs import SAMPLES_CTE, SCORED_CTE, samples, scored
 from orbweave.plans.registry import query, table
 from orbweave.streaming import spotter as W
 
@@ -110,7 +111,72 @@ def _(s, d):
 @query("gbt_logo")
 def _(s, d):
     """Leave-one-game-out boosted trees with an inner validation game."""
-    return Y.leave_one_game_out(model_rows(s, d), Y.boosted(FEATS, 3, 0.08, 500))
+    return boost.leave_one_game_out(model_rows(s, d), FEATS, depth=4, rate=0.08, rounds=500, leaf=40)
+
+
+# every throw with texts and camera evidence derived from its samples
+CAMERA_SQL = """{c}d AS (SELECT *, nr_x - {shift} BETWEEN 714 AND 1138 AND nr_y BETWEEN 953 AND 1110 AS deep FROM samples),
+{c}0 AS (SELECT game_id, shot, min(t) FILTER (WHERE deep) AS t0 FROM {c}d GROUP BY game_id, shot),
+{c}m AS (SELECT game_id, shot, max(nr_y) FILTER (WHERE deep AND t-t0<=1) AS my, arg_max(t,(nr_y,-t))
+ FILTER (WHERE deep AND t-t0<=1) AS mt, count(*) FILTER (WHERE deep AND t-t0<=1) AS n_deep
+ FROM {c}d JOIN {c}0 USING (game_id, shot) GROUP BY game_id, shot),
+{c}b AS (SELECT game_id, shot, max(my) AS my, max(n_deep) AS n_deep, min(nr_y) FILTER (WHERE t>mt AND t-mt<=0.4
+ AND nr_x - {shift} BETWEEN 514 AND 1338 AND nr_y>=776) AS b FROM {c}d JOIN {c}m USING (game_id, shot) GROUP BY game_id, shot),
+{c}l AS (SELECT *, my - least(my, coalesce(b, my)) AS dl FROM {c}b),
+{c}v AS (SELECT game_id, shot, CASE WHEN n_deep=0 THEN 'UND' WHEN dl>=150 THEN 'MISS' WHEN n_deep>=5 AND dl<40 THEN 'MAKE'
+ WHEN dl>=60 THEN 'MISS-weak' ELSE 'MAKE-weak' END AS {c}, my AS {c}_cy, dl AS {c}_px, n_deep AS {c}_deep FROM {c}l)"""
+SHOT_COLUMNS_SQL = f"""WITH {SAMPLES_CTE}, {CAMERA_SQL.format(c='fr', shift=150)}, {CAMERA_SQL.format(c='nr', shift=0)},
+tx AS (SELECT DISTINCT game_id, shot, CASE WHEN shot % 2 = 0 THEN 'FG_MAKE' ELSE 'FG_MISS' END AS gt,
+ CASE shot % 4 WHEN 0 THEN 'MAKE (passed through rim plane at r=' || shot % 37 || 'cm)'
+  WHEN 1 THEN 'MISS RIM-OUT bounce=' || shot % 23 || 'cm' WHEN 2 THEN 'UNDECIDED no clear make signal'
+  ELSE 'MISS (crossed r=' || shot % 90 || 'cm, gap-stop)' END AS verdict FROM samples),
+ap AS (SELECT game_id, shot, count(*) AS n, arg_max({{'f': frame, 'x': x, 'y': y, 'z': z}}, (z, -frame)) AS a
+ FROM samples GROUP BY game_id, shot),
+lo AS (SELECT game_id, shot, min(z) AS z_min FROM samples JOIN ap USING (game_id, shot) WHERE frame >= a.f GROUP BY game_id, shot),
+nu AS (SELECT *, coalesce(nullif(TRY_CAST(regexp_extract(verdict, 'r=([0-9]+)cm', 1) AS DOUBLE), 0), -1.0) AS cr,
+ coalesce(nullif(TRY_CAST(regexp_extract(verdict, 'bounce=([0-9]+)cm', 1) AS DOUBLE), 0), 0.0) AS bo FROM tx)
+SELECT game_id, shot, gt, CAST(gt = 'FG_MAKE' AS INTEGER) AS label, n AS n_samples,
+ CASE WHEN n<3 THEN -1.0 ELSE sqrt(pow(a.x - 2008.7, 2) + pow(a.y - 713.2, 2)) END AS apex_r,
+ CASE WHEN n<3 THEN -1.0 ELSE a.z END AS apex_z, CASE WHEN n<3 THEN -1.0 ELSE cr END AS cross_r,
+ CASE WHEN n<3 THEN -1.0 ELSE z_min END AS z_min, CASE WHEN n<3 THEN -1.0 ELSE bo END AS bounce_cm,
+ CAST(starts_with(verdict, 'MAKE') AS INTEGER) AS tri_make, CAST(starts_with(verdict, 'MISS') AS INTEGER) AS tri_miss,
+ CAST(starts_with(verdict, 'UNDECIDED') AS INTEGER) AS tri_und, CAST(contains(verdict, 'RIM-OUT') AS INTEGER) AS tri_has_rim_out,
+ 0 AS tri_has_rim_bounce, CAST(contains(verdict, 'gap-stop') AS INTEGER) AS tri_has_gap_stop, 0 AS tri_has_smooth_descent,
+ CAST(contains(verdict, 'passed through') AS INTEGER) AS tri_has_pass_through, 0 AS tri_has_clean_clean,
+ CAST(contains(verdict, 'no clear make signal') AS INTEGER) AS tri_has_no_clear,
+ {{cams}} FROM nu JOIN ap USING (game_id, shot) JOIN lo USING (game_id, shot) JOIN frv USING (game_id, shot) JOIN nrv USING (game_id, shot)"""
+CAMERA_COLUMNS_SQL = ", ".join(f"""CASE WHEN {c}='UND' THEN 0 WHEN {c} LIKE '%-weak' THEN 1 ELSE 2 END AS {c}_strength,
+ CAST(starts_with({c}, 'MAKE') AS INTEGER) AS {c}_is_make, CAST(starts_with({c}, 'MISS') AS INTEGER) AS {c}_is_miss,
+ CAST({c}_deep AS DOUBLE) AS {c}_n_deep, coalesce({c}_px, 0.0) AS {c}_rebound_px, coalesce(nullif({c}_cy, 0), -1.0) AS {c}_max_cy"""
+                               for c in ("fr", "nr"))
+
+
+def shot_rows(s, d):
+    x = samples(s, d)
+    out = x.select("game_id", "shot").distinct()
+    n = F.col("shot")
+    text = (F.when(n % 4 == 0, F.concat(F.lit("MAKE (passed through rim plane at r="), (n % 37).cast("string"), F.lit("cm)")))
+            .when(n % 4 == 1, F.concat(F.lit("MISS RIM-OUT bounce="), (n % 23).cast("string"), F.lit("cm")))
+            .when(n % 4 == 2, "UNDECIDED no clear make signal")
+            .otherwise(F.concat(F.lit("MISS (crossed r="), (n % 90).cast("string"), F.lit("cm, gap-stop)"))))
+    out = out.withColumn("gt", F.when(n % 2 == 0, "FG_MAKE").otherwise("FG_MISS")).withColumn("verdict", text).withColumn("tri", text)
+    for c, shift in (("fr", 150), ("nr", 0)):
+        v = H.single_camera(x.withColumn("px", F.col("nr_x") - shift).withColumnRenamed("nr_y", "py"), H.SHOT, K.NEAR_HOOP_BOX)
+        out = out.join(v.withColumnsRenamed({"camera_verdict": c, "max_cy": f"{c}_max_cy", "rebound_px": f"{c}_rebound_px",
+                                             "n_deep": f"{c}_n_deep"}), list(H.SHOT))
+    return shotmodel.shot_columns(out, x)
+
+
+@query("shot_classifier_columns", SHOT_COLUMNS_SQL.replace("{cams}", CAMERA_COLUMNS_SQL),
+       {6: "apex_r apex_z z_min fr_rebound_px fr_max_cy nr_rebound_px nr_max_cy"})
+def _(s, d):
+    return shot_rows(s, d)
+
+
+@query("shot_classifier")
+def _(s, d):
+    """The 28-column classifier, every game held out once: metrics per game."""
+    return shotmodel.held_out_games(shot_rows(s, d))
 
 
 @query("logo_summary")

@@ -14,7 +14,7 @@ def asked(*args, **named):
 
 
 @pytest.mark.parametrize("name, module, function, position, argument, least", [
-    ("gbt_logo", learn, "boosted", 3, "rounds", 500), ("logistic_select_test", learn, "boosted", 3, "rounds", 300),
+    ("logistic_select_test", learn, "boosted", 3, "rounds", 300),
     ("permutation_importance", learn, "permutation_importance", 3, "repeats", 10),
     ("offset_sweep", trajectory, "offset_sweep", 4, "offsets", range(5, 26))])
 def test_whole_counts(monkeypatch, name, module, function, position, argument, least):
