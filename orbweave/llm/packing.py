@@ -20,52 +20,63 @@ GRAIN = 8            # lengths are rounded up to multiples of this when patterns
 # --- the plan: patterns and their repeat counts, from the histogram alone ---------------------------------
 
 def patterns_of(present: np.ndarray, units: int) -> list[tuple[int, ...]]:
-    """Patterns of one to three lengths (largest first) that fill ``units`` exactly, from the lengths present."""
+    """Patterns of one to three lengths (largest first) from the lengths present: all that fill ``units`` exactly, and of
+    every length with each other one the closest that leave space: no third length would fit in better."""
     have = np.zeros(units + 1, bool)
     have[present] = True
-    out = [(units,)] if have[units] else []
+    fits = np.where(have, np.arange(units + 1), 0)
+    fits = np.maximum.accumulate(fits)                          # the largest length present up to each size
+    out = []
     for a in present[::-1].tolist():
-        if have[units - a] and units - a <= a and units - a > 0:
-            out.append((a, units - a))
-        for b in range(min(a, units - a - 1), 0, -1):
-            c = units - a - b
-            if c > b:
-                break
-            if have[b] and have[c]:
-                out.append((a, b, c))
+        best = int(min(fits[units - a], a))
+        if not best or a + best < units:
+            out.append((a, best) if best else (a,))
+        for b in range(best, 0, -1):
+            if not have[b]:
+                continue
+            c = int(min(fits[units - a - b], b))
+            if a + b + c == units or b == best:
+                pattern = (a, b, c) if c else (a, b)
+                if pattern != out[-1] if out else True:
+                    out.append(pattern)
     return out
 
 
-def non_negative_fit(columns: np.ndarray, histogram: np.ndarray, rounds: int = 400, at_once: int = 8) -> np.ndarray:
+def non_negative_fit(columns: np.ndarray, histogram: np.ndarray, rounds: int = 400, at_once: int = 8,
+                     slack: np.ndarray | None = None) -> np.ndarray:
     """Least-squares repeat counts x >= 0 of the patterns: ``sum of x * column`` close to the histogram.
 
     Active-set method: patterns whose gradient is largest join the passive set, the set is solved without bounds,
     and a step towards the solution stops where the first count reaches zero, which leaves the set.
-    ``columns`` has each pattern's up to three lengths as indexes, -1 where it has fewer.
+    ``columns`` has each pattern's up to three lengths as indexes, -1 where it has fewer.  ``slack`` is the share of a
+    sequence that each pattern leaves open; it counts as one more row of the fit, whose target is 0.
     """
     n = len(columns)
     x, passive = np.zeros(n), []
     used = columns >= 0
     safe = np.where(used, columns, 0)
+    waste = np.zeros(n) if slack is None else slack
 
     def dense(members):
-        a = np.zeros((len(histogram), len(members)))
+        a = np.zeros((len(histogram) + 1, len(members)))
         for j, m in enumerate(members):
             for c in columns[m][used[m]]:
                 a[c, j] += 1
+        a[-1] = waste[members]
         return a
+    target = np.append(histogram, 0.0)
     for _ in range(rounds):
         covered = np.bincount(safe[used], np.broadcast_to(x[:, None], columns.shape)[used], minlength=len(histogram))
-        gradient = np.where(used, (histogram - covered)[safe], 0.0).sum(1)
+        gradient = np.where(used, (histogram - covered)[safe], 0.0).sum(1) - waste * (waste @ x)
         gradient[passive] = -np.inf
-        best = np.argsort(-gradient)[:at_once]
+        best = np.argsort(-gradient, kind="stable")[:at_once]
         best = best[gradient[best] > 1e-6 * max(1.0, histogram.max())]
         if not len(best):
             break
         passive = passive + best.tolist()
         while passive:
             a = dense(passive)
-            z = np.linalg.solve(a.T @ a + 1e-9 * np.eye(len(passive)), a.T @ histogram)
+            z = np.linalg.solve(a.T @ a + 1e-9 * np.eye(len(passive)), a.T @ target)
             if (z > 0).all():
                 x[passive] = z
                 break
@@ -74,7 +85,7 @@ def non_negative_fit(columns: np.ndarray, histogram: np.ndarray, rounds: int = 4
             share = (now[low] / np.maximum(now[low] - z[low], 1e-300)).min()
             moved = now + share * (z - now)
             x[passive] = moved
-            gone = moved <= 1e-9
+            gone = low & (moved <= 1e-9)                         # members that block the step; new ones at 0 stay
             x[[m for m, g in zip(passive, gone) if g]] = 0
             passive = [m for m, g in zip(passive, gone) if not g]
     return x
@@ -151,36 +162,76 @@ def plan(histogram: dict[int, int], capacity: int, grain: int = 1) -> list[tuple
     """Patterns with repeat counts that place every length of the histogram exactly once.
 
     Lengths are rounded up to ``grain`` only where patterns are enumerated and fitted; what a pattern's exact lengths
-    leave open, and the rest, is filled by exact lengths.
+    leave open, and the rest, is filled by exact lengths.  While there are more sequences than the tokens need, the
+    emptiest are taken apart and their pieces placed again, twice as many each time.
     """
+    packs = _fitted(histogram, capacity, grain)
+    rest = dict(histogram)
+    for pattern, n in packs:
+        for k in pattern:
+            rest[k] -= n
+    done = best_fit({k: n for k, n in rest.items() if n}, _by_space(packs, capacity), capacity)
+    least = -(-sum(k * n for k, n in histogram.items()) // capacity)
+    apart = max(1, sum(n for _, n in done) // 64)
+    while True:
+        total = sum(n for _, n in done)
+        if total <= least or apart >= 2 * total:
+            return done
+        again = _taken_apart(done, apart, capacity)
+        if sum(n for _, n in again) < total:
+            done = again
+        apart *= 2
+
+
+def _by_space(packs, capacity: int) -> dict[int, list]:
+    out: dict[int, list] = {}
+    for pattern, n in packs:
+        out.setdefault(capacity - sum(pattern), []).append((pattern, n))
+    return out
+
+
+def _taken_apart(packs, count: int, capacity: int):
+    """The packs after the pieces of the ``count`` emptiest went best-fit-decreasing into the others and new ones."""
+    kept, pieces = [], {}
+    for pattern, n in sorted(packs, key=lambda p: (sum(p[0]), p)):
+        gone = min(n, count)
+        count -= gone
+        for k in pattern if gone else ():
+            pieces[k] = pieces.get(k, 0) + gone
+        if n > gone:
+            kept.append((pattern, n - gone))
+    return best_fit(pieces, _by_space(kept, capacity), capacity)
+
+
+def _fitted(histogram: dict[int, int], capacity: int, grain: int) -> list[tuple[tuple[int, ...], int]]:
+    """Packs of the fitted patterns, in exact lengths; their counts are rounded down."""
     exact: dict[int, list[list[int]]] = {}
     for length in sorted(histogram):
         if histogram[length]:
             exact.setdefault(-(-length // grain), []).append([length, int(histogram[length])])
     left = {k: sum(n for _, n in entries) for k, entries in exact.items()}
-    packs: dict[int, list] = {}
-    units = capacity // grain
-    if left:
-        present = np.array(sorted(left))
-        found = patterns_of(present, units)
-        if found:
-            columns = np.full((len(found), 3), -1)
-            for i, p in enumerate(found):
-                columns[i, :len(p)] = p
-            target = np.zeros(units + 1)
-            target[present] = [left[k] for k in present.tolist()]
-            repeats = np.floor(non_negative_fit(columns, target) + 1e-6).astype(int)
-            for i in np.argsort(-repeats, kind="stable"):
-                pattern, need = found[i], {}
-                for k in pattern:
-                    need[k] = need.get(k, 0) + 1
-                n = min(int(repeats[i]), *(left.get(k, 0) // m for k, m in need.items()))
-                if n > 0:
-                    for k, m in need.items():
-                        left[k] -= n * m
-                    for lengths, times in _exact(pattern, n, exact):
-                        packs.setdefault(capacity - sum(lengths), []).append((lengths, times))
-    return best_fit({length: n for entries in exact.values() for length, n in entries}, packs, capacity)
+    units, out = capacity // grain, []
+    if not left:
+        return out
+    present = np.array(sorted(left))
+    found = patterns_of(present, units)
+    columns = np.full((len(found), 3), -1)
+    for i, p in enumerate(found):
+        columns[i, :len(p)] = p
+    target = np.zeros(units + 1)
+    target[present] = [left[k] for k in present.tolist()]
+    slack = 1 - np.array([sum(p) for p in found]) / units
+    repeats = np.floor(non_negative_fit(columns, target, slack=slack) + 1e-6).astype(int)
+    for i in np.lexsort((-repeats, slack)):
+        pattern, need = found[i], {}
+        for k in pattern:
+            need[k] = need.get(k, 0) + 1
+        n = min(int(repeats[i]), *(left.get(k, 0) // m for k, m in need.items()))
+        if n > 0:
+            for k, m in need.items():
+                left[k] -= n * m
+            out += _exact(pattern, n, exact)
+    return out
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]):
@@ -251,7 +302,7 @@ def pack(rows: DataFrame, tokenizer: str, key: str = "name", text: str = "verdic
     runs = slots(plan(histogram, capacity, grain))
     before = counts.select("length", "task", (F.sum("n").over(
         Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
-    ranked = parts.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    ranked = parts.join(before.hint("merge"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
 
     def place(batches):
         for b in batches:

@@ -1,21 +1,44 @@
 """Ids of a word-level BPE vocabulary, looked up word by word.
 
-The vocabulary's pattern never crosses white space, so the ids of a text are those of its words one after the
-other.  The tokenizers library encodes each word a worker has not met yet; later ones cost one dictionary access.
+Where the vocabulary's file says that its pattern never crosses white space, the ids of a text are those of its words one
+after the other, and the ids of an ASCII word those of its runs of letters, digits and marks.  Runs that a worker has
+not met go through the library's merges; all later ones cost one dictionary access.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+
+from orbweave.llm.common import utf8
 
 END_ID = 1
 CACHE_WORDS = 600_000
+#: What the file must say for texts to be cut into words and runs (fixed values of the format).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+_PLAIN = re.compile(rb"[!-&(-;=-~]+")                 # ASCII without space, apostrophe and the sign of special tokens
+
+
+def cut_at_words(spec: dict) -> bool:
+    """Whether a tokenizers file normalises and splits texts in the way that words can be looked up."""
+    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return ((spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS and len(split) == 2
+            and (split[0].get("type"), split[0].get("behavior"), split[0].get("invert")) == ("Split", "Removed", True)
+            and split[0].get("pattern") == {"Regex": PATTERN}
+            and (split[1].get("type"), split[1].get("use_regex"), split[1].get("add_prefix_space")) == ("ByteLevel", False, False)
+            and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not spec["model"].get("ignore_merges")
+            and not spec.get("truncation") and not spec.get("padding")
+            and all(t["special"] and not t["normalized"] and t["content"].startswith("<") for t in spec.get("added_tokens", ())))
 
 
 class WordIds:
     """Little-endian 32-bit ids of texts; ``tokenizer`` is the path of a tokenizers file.
 
-    At most ``CACHE_WORDS`` words are remembered; when there are more the memory starts anew.
+    A file of another kind is used as it is: whole texts go through the library.  Bytes that are not UTF-8 count as
+    U+FFFD.  At most ``CACHE_WORDS`` words are remembered; when there are more the memory starts anew.
     """
 
     def __init__(self, tokenizer: str):
@@ -23,44 +46,43 @@ class WordIds:
         from tokenizers import Tokenizer
         import numpy as np
         self._np, self._lib = np, Tokenizer.from_file(tokenizer)
+        with open(tokenizer, encoding="utf-8") as f:
+            self.by_word = cut_at_words(json.load(f))
         self._known: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[str]) -> list[bytes]:
+    def _encode(self, values: list[str]) -> list[bytes]:
         return [self._np.array(e.ids, dtype="<u4").tobytes()
-                for e in self._lib.encode_batch_fast(words, add_special_tokens=False)]
+                for e in self._lib.encode_batch_fast(values, add_special_tokens=False)]
 
     def _learn(self, words) -> None:
-        known = self._known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        plain, marked = {}, []
+        known, merges = self._known, self._lib.model.tokenize
+        plain, other = [], []
         for w in words:
-            stem = w[:-1] if w[-1:] in (b".", b",") else w
-            if stem is not w and stem.decode().isalpha():     # letters, then one mark: two separate matches
-                marked.append((w, stem, w[-1:]))
-                for part in (stem, w[-1:]):
-                    if part not in known:
-                        plain[part] = None
-            else:
-                plain[w] = None
-        todo = list(plain)
-        for at in range(0, len(todo), 20_000):
-            part = todo[at:at + 20_000]
+            (plain if _PLAIN.fullmatch(w) else other).append(w)
+        for w in plain:
+            runs = _RUNS.findall(w)
+            for run in runs:
+                if run not in known:
+                    known[run] = b"".join(t.id.to_bytes(4, "little") for t in merges(run.decode()))
+            if len(runs) > 1:
+                known[w] = b"".join(map(known.__getitem__, runs))
+        for at in range(0, len(other), 20_000):
+            part = other[at:at + 20_000]
             known.update(zip(part, self._encode([w.decode() for w in part])))
-        for w, stem, mark in marked:
-            known[w] = known[stem] + known[mark]
 
     def encode_all(self, values: list[bytes]) -> list[bytes]:
-        """The ids of each UTF-8 text as bytes; case is folded by the vocabulary, A-Z already here."""
-        # the vocabulary lower-cases itself; a "<|" may be a special token, whose case counts
-        split = [(v if b"<|" in v else v.lower()).split() for v in values]
+        """The ids of each text as bytes."""
+        values = [utf8(v) for v in values]
+        if not self.by_word:
+            return self._encode([v.decode() for v in values])
+        # the vocabulary lower-cases itself; a "<" may begin a special token, whose case counts
+        split = [[w if b"<" in w else w.lower() for w in v.split()] if b"<" in v else v.lower().split() for v in values]
         known = self._known
         new = set().union(*split).difference(known) if split else ()
-        if new:
-            size = len(known)
-            self._learn(new)
-            if len(known) < size:                              # the memory was emptied: learn the rest again
-                self._learn(set().union(*split).difference(known))
+        if new and len(known) > CACHE_WORDS:
+            known.clear()
+            new = set().union(*split)
+        self._learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

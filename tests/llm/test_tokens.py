@@ -164,6 +164,43 @@ def test_blocks_hold_ids(spark, verdicts, library, monkeypatch):
     assert [numbers(g["ids"]) for g in got] == [[*library.encode(t, add_special_tokens=False).ids, 1] for _, t in rows]
 
 
+# --- other vocabularies -----
+
+def small_vocabulary(path, lower):
+    """A byte-level BPE of single letters and two merges, with or without lower-casing."""
+    from tokenizers import models, normalizers, pre_tokenizers
+    letters = [chr(c) for c in range(33, 127)]
+    vocab = {t: i for i, t in enumerate([*letters, "ab", "AB", "Ġ"])}
+    t = Tokenizer(models.BPE(vocab=vocab, merges=[("a", "b"), ("A", "B")]))
+    if lower:
+        t.normalizer = normalizers.Lowercase()
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    t.save(str(path))
+    return str(path)
+
+
+@pytest.mark.parametrize("lower", [False, True])
+def test_case_and_spaces_of_another_vocabulary(tmp_path, lower):
+    path = small_vocabulary(tmp_path / "own.json", lower)
+    ids, own = wordbpe.WordIds(path), Tokenizer.from_file(path)
+    values = ["AB ab aB", "", " ab  AB ", "a.b,AB1"]
+    assert not ids.by_word
+    assert [numbers(i) for i in ids.encode_all([v.encode() for v in values])] == [own.encode(v, add_special_tokens=False).ids for v in values]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abZ'stlv019.,-<|>éß ñ日\n", max_size=40), st.sampled_from(["", "<|endoftext|>", "<|StartOfText|>", "it's 12.5x"]))
+def test_runs_of_words_equal_the_library(text, more):
+    ids = wordbpe.word_ids(WORDS)
+    own = test_runs_of_words_equal_the_library.__dict__.setdefault("own", Tokenizer.from_file(WORDS))
+    assert ids.by_word
+    assert numbers(ids.encode_all([(text + more).encode()])[0]) == own.encode(text + more, add_special_tokens=False).ids
+
+
+def test_bytes_that_are_not_utf8(library):
+    assert numbers(wordbpe.word_ids(WORDS).encode_all([b"ab\xff cd"])[0]) == library.encode("ab\ufffd cd", add_special_tokens=False).ids
+
+
 # --- packing ---------------------------------------------------------------------------------------------
 
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 60), max_size=20))
@@ -193,6 +230,27 @@ def test_fit_reproduces_a_mixture_of_patterns():
     assert sum(n for _, n in plan) == -(-sum(k * n for k, n in histogram.items()) // 32)
 
 
+def sequences(plan):
+    return sum(n for _, n in plan)
+
+
+def test_never_more_sequences_than_best_fit():
+    rng = np.random.default_rng(11)
+    for _ in range(1000):
+        lengths = rng.choice(np.arange(1, 33), int(rng.integers(1, 20)), replace=False).tolist()
+        histogram = dict(zip(lengths, rng.integers(1, 60, len(lengths)).tolist()))
+        assert sequences(packing.plan(histogram, 32)) <= sequences(packing.best_fit(dict(histogram), {}, 32))
+
+
+def test_most_sequences_come_from_fitted_patterns(library):
+    import pyarrow.parquet as pq
+    values = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    sizes = [len(e.ids) + 1 for e in library.encode_batch([v or "" for v in values], add_special_tokens=False)]
+    histogram = Counter(n % 4096 for n in sizes if n % 4096) + Counter({4096: sum(n // 4096 for n in sizes)})
+    fitted, whole = sequences(packing._fitted(histogram, 4096, 8)), sequences(packing.plan(histogram, 4096, 8))
+    assert whole == -(-sum(sizes) // 4096) and fitted > whole / 2
+
+
 def test_fit_is_non_negative_and_close():
     rng = np.random.default_rng(3)
     found = packing.patterns_of(np.arange(1, 33), 32)
