@@ -173,14 +173,15 @@ def plan(histogram: dict[int, int], capacity: int, grain: int = 1) -> list[tuple
     done = best_fit({k: n for k, n in rest.items() if n}, _by_space(packs, capacity), capacity)
     least = -(-sum(k * n for k, n in histogram.items()) // capacity)
     apart = max(1, sum(n for _, n in done) // 64)
-    while True:
-        total = sum(n for _, n in done)
-        if total <= least or apart >= 2 * total:
-            return done
-        again = _taken_apart(done, apart, capacity)
+    total = sum(n for _, n in done)
+    while total > least:
+        again, whole = _taken_apart(done, apart, capacity), apart >= total
         if sum(n for _, n in again) < total:
-            done = again
+            done, total = again, sum(n for _, n in again)
+        if whole:
+            break
         apart *= 2
+    return done
 
 
 def _by_space(packs, capacity: int) -> dict[int, list]:
