@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -228,58 +227,58 @@ class DescentRules:
         return self.max_rows * (self.max_skips + 1) + 1
 
 
-def _walk_group(rules: DescentRules):
-    cols = ["pos", "t", "x", "y", "z"]
+def _hop(a, b) -> Column:
+    return F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))
 
-    def calm(path) -> bool:
-        """The last four accepted rows do not drift away from the rim."""
-        if len(path) < 4:
-            return True
-        r = [math.hypot(p[2] - K.RIM_X, p[3] - K.RIM_Y) for p in path[-4:]]
-        return sorted(b - a for a, b in zip(r, r[1:]))[1] <= 1.5
 
-    def run(tab: pa.Table) -> pa.Table:
-        tab = tab.sort_by("pos")
-        rows = list(zip(*(tab[c].to_pylist() for c in cols)))
-        path, skipped, lost = [rows[0]], 0, False
-        for row in rows[1:]:
-            _, pt, px, py, pz = path[-1]
-            dt = max(row[1] - pt, 1.0 / K.FPS)
-            if dt > 0.15 and pz < 360 and math.hypot(px - K.RIM_X, py - K.RIM_Y) < 45 and calm(path):
-                lost = True
-                break
-            hop = math.hypot(row[2] - px, row[3] - py)
-            if hop > 250 or hop / dt > 2500.0:
-                skipped += 1
-                if not rules.skip_noisy or skipped > rules.max_skips:
-                    break
-                continue
-            skipped = 0
-            path.append(row)
-            through = row[4] < K.RIM_Z - 20 and math.hypot(row[2] - K.RIM_X, row[3] - K.RIM_Y) < 60
-            if through or len(path) >= rules.max_rows:
-                break
-        n = len(path)
-        out = dict(zip(cols, map(pa.array, zip(*path))))
-        out.update(seq=pa.array(range(1, n + 1), pa.int64()), gap_stop=pa.array([lost] * n))
-        first = pa.array([0] * n, pa.int64())
-        out.update({k: tab[k].combine_chunks().take(first) for k in tab.column_names
-                    if k.startswith("k_")})
-        return pa.table(out)
-    return run
+def _off_centre(p) -> Column:
+    return F.sqrt((p["x"] - K.RIM_X) * (p["x"] - K.RIM_X) + (p["y"] - K.RIM_Y) * (p["y"] - K.RIM_Y))
+
+
+def _walk_state(rules: DescentRules):
+    """Step of the walk as an expression: (state, row) -> state.
+
+    The state holds the last accepted row, the radii of the last four, the noisy rows in a row, the accepted positions
+    and why the walk ended (``end``: gap, noise or done; null while it goes on).
+    """
+    def step(s, row):
+        wait = F.greatest(row["t"] - s["at"]["t"], F.lit(1.0 / K.FPS))
+        moves = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.get(s["radii"], i) - F.get(s["radii"], i - 1))
+        steady = (F.size(s["radii"]) < 4) | (F.get(F.array_sort(moves), F.lit(1)) <= 1.5)
+        vanished = (wait > 0.15) & (s["at"]["z"] < 360) & (_off_centre(s["at"]) < 45) & steady
+        jump = _hop(row, s["at"])
+        noisy = (jump > 250) | (jump / wait > 2500.0)
+        noise = s["noise"] + 1
+        tired = F.lit(True) if not rules.skip_noisy else noise > rules.max_skips
+        below = (row["z"] < K.RIM_Z - 20) & (_off_centre(row) < 60)
+        full = F.size(s["kept"]) + 1 >= rules.max_rows
+
+        def state(at, radii, count, kept, end):
+            return F.struct(at.alias("at"), radii.alias("radii"), count.alias("noise"), kept.alias("kept"), end.alias("end"))
+        taken = state(row, F.slice(F.concat(s["radii"], F.array(_off_centre(row))),
+                                   F.greatest(F.size(s["radii"]) - 2, F.lit(1)), 4), F.lit(0), F.concat(s["kept"], F.array(row["k"])),
+                      F.when(below | full, "done"))
+        ended = state(s["at"], s["radii"], s["noise"], s["kept"], F.lit("gap"))
+        passed_over = state(s["at"], s["radii"], noise, s["kept"], F.when(tired, "noise"))
+        return F.when(s["end"].isNotNull(), s).when(vanished, ended).when(noisy, passed_over).otherwise(taken)
+    return step
 
 
 def descent_walk(after_apex: DataFrame, keys: Sequence[str], rules: DescentRules) -> DataFrame:
     """Accepted rows of the post-apex walk (1..30 per shot) with their sequence number.
 
-    ``after_apex`` holds at most ``rules.reach`` rows per shot, counted from the apex.
+    ``after_apex`` holds at most ``rules.reach`` rows per shot, counted from the apex, so a shot's rows are folded as
+    one sorted array by a native expression.
     """
-    src = after_apex.select(*[F.col(k).alias(f"k_{k}") for k in keys], "pos", "t", "x", "y", "z")
-    types = dict(src.dtypes)
-    schema = "pos long, t double, x double, y double, z double, seq long, gap_stop boolean, " + \
-        ", ".join(f"k_{k} {types[f'k_{k}']}" for k in keys)
-    w = grouped(src, [*[f"k_{k}" for k in keys]]).applyInArrow(_walk_group(rules), schema)
-    return w.withColumnsRenamed({f"k_{k}": k for k in keys})
+    row = F.struct(F.col("pos").alias("k"), "t", "x", "y", "z")
+    shots = after_apex.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    first = F.get("rows", F.lit(0))
+    start = F.struct(first.alias("at"), F.array(_off_centre(first)).alias("radii"), F.lit(0).alias("noise"),
+                     F.array(first["k"]).alias("kept"), F.lit(None).cast("string").alias("end"))
+    walked = shots.withColumn("w", F.aggregate(F.slice("rows", 2, rules.reach), start, _walk_state(rules)))
+    accepted = F.filter("rows", lambda r: F.array_contains("w.kept", r["k"]))
+    return walked.select(*keys, F.coalesce(F.col("w.end") == "gap", F.lit(False)).alias("gap_stop"), F.posexplode(accepted).alias("i", "r")).select(
+        F.col("r.k").alias("pos"), "r.t", "r.x", "r.y", "r.z", (F.col("i") + 1).cast("long").alias("seq"), "gap_stop", *keys)
 
 
 def walk_evidence(walk: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -378,16 +377,8 @@ def near_rebound(after: DataFrame, keys: Sequence[str], box=K.NEAR_HOOP_BOX) ->
                     climb.alias("rebound_px"), "z_low")
 
 
-def rescore(samples: DataFrame, keys: Sequence[str] = SHOT, rules: DescentRules = DescentRules(),
-            bounds=K.COURT_BOUNDS, order: str = "frame", apex_at: str | None = None,
-            min_samples: int = 3) -> DataFrame:
-    """Typed verdict per shot from cached samples: bounds, apex, walk, rules, rebound override.
-
-    The apex is the highest row, or, where ``apex_at`` names a column with its time, the row nearest that time;
-    the first row on ties.  Shots with fewer than ``min_samples`` rows stay undecided.
-    """
-    keys = list(keys)
-    shots = samples.select(*keys).distinct()
+def _after_apex(samples: DataFrame, keys: Sequence[str], rules: DescentRules, bounds, order: str, apex_at: str | None):
+    """Numbered rows from the apex on, and one row per shot about its apex."""
     court = in_court(samples, bounds) if bounds else samples
     b = ordered.frame_bucket(order)
     n = cut(ordered.row_number(court, keys, [order], b, "pos"))
@@ -404,6 +395,26 @@ def rescore(samples: DataFrame, keys: Sequence[str] = SHOT, rules: DescentRules
     # the walk looks at ``reach`` rows, the rebound at REBOUND_S seconds, whatever the frame rate
     after = cut(after.withColumn("k", F.col("pos") - F.col("apex_pos")).filter((F.col("k") >= 0) & (
         (F.col("k") <= rules.reach) | (F.col("t") - F.col("apex_t") <= REBOUND_S))))
+    return after, apex
+
+
+def rows_after_apex(samples: DataFrame, keys: Sequence[str] = SHOT, rules: DescentRules = DescentRules(),
+                    bounds=K.COURT_BOUNDS, order: str = "frame", apex_at: str | None = None) -> DataFrame:
+    """What :func:`descent_walk` looks at: at most ``rules.reach`` rows of each shot, from the apex on."""
+    return _after_apex(samples, list(keys), rules, bounds, order, apex_at)[0].filter(F.col("k") <= rules.reach)
+
+
+def rescore(samples: DataFrame, keys: Sequence[str] = SHOT, rules: DescentRules = DescentRules(),
+            bounds=K.COURT_BOUNDS, order: str = "frame", apex_at: str | None = None,
+            min_samples: int = 3) -> DataFrame:
+    """Typed verdict per shot from cached samples: bounds, apex, walk, rules, rebound override.
+
+    The apex is the highest row, or, where ``apex_at`` names a column with its time, the row nearest that time;
+    the first row on ties.  Shots with fewer than ``min_samples`` rows stay undecided.
+    """
+    keys = list(keys)
+    shots = samples.select(*keys).distinct()
+    after, apex = _after_apex(samples, keys, rules, bounds, order, apex_at)
     ev = walk_evidence(descent_walk(after.filter(F.col("k") <= rules.reach), keys, rules), keys)
     j = shots.join(apex, keys, "left").join(ev, keys, "left").join(near_rebound(after, keys), keys, "left")
     j = j.withColumn("n_samples", F.coalesce("n_samples", F.lit(0))).withColumn(

@@ -146,6 +146,36 @@ def _(s, d):
     return H.single_camera(x, H.SHOT, K.NEAR_HOOP_BOX)
 
 
+WALK_CTE = f"""WITH RECURSIVE {SAMPLES_CTE},
+cn AS (SELECT *, row_number() OVER (PARTITION BY {K2} ORDER BY frame) AS pos FROM samples
+ WHERE x > 800 AND x < 2600 AND y > 0 AND y < 1430 AND z > -50 AND z < 1100),
+ca AS (SELECT {K2}, arg_max(pos, (z, -pos)) AS top FROM cn GROUP BY {K2}),
+cr AS MATERIALIZED (SELECT {K2}, pos, pos - top AS k, t, x, y, z, {R.format(x='x', y='y')} AS r FROM cn JOIN ca USING ({K2})
+ WHERE pos >= top AND pos - top <= 271),
+wk AS (SELECT {K2}, k, pos, t, x, y, z, [r] AS rr, 0 AS noise, 1 AS n, CAST(NULL AS VARCHAR) AS fin, true AS acc FROM cr WHERE k = 0
+ UNION ALL
+ SELECT game_id, shot, k, CASE WHEN acc THEN pos ELSE ppos END, CASE WHEN acc THEN t ELSE pt END,
+  CASE WHEN acc THEN x ELSE px END, CASE WHEN acc THEN y ELSE py END, CASE WHEN acc THEN z ELSE pz END,
+  CASE WHEN acc THEN list_concat(rr, [r])[-4:] ELSE rr END, CASE WHEN acc THEN 0 WHEN lost THEN noise ELSE noise + 1 END,
+  CASE WHEN acc THEN n + 1 ELSE n END,
+  CASE WHEN lost THEN 'gap' WHEN noisy AND noise + 1 > 8 THEN 'noise'
+   WHEN acc AND ((z < 284.8 AND r < 60) OR n + 1 >= 30) THEN 'done' END, acc
+ FROM (SELECT *, NOT lost AND NOT noisy AS acc FROM (SELECT *,
+   dt > 0.15 AND pz < 360 AND rr[-1] < 45 AND (len(rr) < 4 OR list_sort([rr[2]-rr[1], rr[3]-rr[2], rr[4]-rr[3]])[2] <= 1.5) AS lost,
+   hop > 250 OR hop / dt > 2500 AS noisy
+  FROM (SELECT c.*, w.pos AS ppos, w.t AS pt, w.x AS px, w.y AS py, w.z AS pz, w.rr, w.noise, w.n,
+    greatest(c.t - w.t, 1.0 / 29.97) AS dt, sqrt(pow(c.x - w.x, 2) + pow(c.y - w.y, 2)) AS hop
+   FROM wk w JOIN cr c ON c.game_id = w.game_id AND c.shot = w.shot AND c.k = w.k + 1 WHERE w.fin IS NULL))))
+"""
+
+
+@query("descent_walk", WALK_CTE + f"""SELECT {K2}, pos, CAST(sum(CASE WHEN acc THEN 1 ELSE 0 END) OVER (PARTITION BY {K2} ORDER BY k)
+ AS BIGINT) AS seq, bool_or(coalesce(fin = 'gap', false)) OVER (PARTITION BY {K2}) AS gap_stop FROM wk QUALIFY acc""")
+def _(s, d):
+    """Rows that the walk after the apex accepts, as a native fold."""
+    return H.descent_walk(H.rows_after_apex(samples(s, d)), H.SHOT, H.DescentRules()).select(*H.SHOT, "pos", "seq", "gap_stop")
+
+
 @query("descent_verdict")
 def _(s, d):
     """Typed trajectory verdict of every throw."""
