@@ -245,13 +245,34 @@ def _(s, d):
     return out.select("user_id", "n_hits", "min_dist")
 
 
-@query("reference_stream")
+REFERENCE_SQL = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id AS frame, event_type <> 'view' AS hoop,
+  [300 + sqrt(value), 200, 520 + sqrt(value), 330 + sqrt(value) / 2] AS h, event_id % 3 <> 0 AS ball,
+  310.0 + event_id % 300 AS bx, 110.0 + event_id * 7 % 200 AS byy FROM events),
+n AS (SELECT *, count(*) FILTER (WHERE hoop) OVER w AS i FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, frame)),
+r AS (SELECT *, {boxes} FROM n WINDOW w AS (PARTITION BY key ORDER BY ts, frame)),
+d AS (SELECT *, sqrt(pow(bx - (b1 + b3) / 2, 2) + pow(byy - (b2 + b4) / 2, 2)) AS dist FROM r
+  WHERE i > 0 AND ball AND ts <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)
+  AND bx BETWEEN b1 - 0.2 * (b3 - b1) AND b3 + 0.2 * (b3 - b1) AND byy BETWEEN b2 - 1.2 * (b4 - b2) AND b4),
+o AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 2 HOUR THEN 1 ELSE 0 END AS nw
+  FROM d WINDOW w AS (PARTITION BY key ORDER BY ts, frame)),
+c AS (SELECT *, sum(nw) OVER (PARTITION BY key ORDER BY ts, frame) AS k FROM o)
+SELECT key, arg_min(ts, (dist, ts, frame)) AS event_t, min(ts) AS t_first, max(ts) AS t_last, count(*) AS n_hits, min(dist) AS min_dist,
+  {last} FROM c GROUP BY key, k HAVING count(*) >= 2 AND max(ts) + INTERVAL 2 HOUR < (SELECT date_trunc('milliseconds', max(ts)) FROM events)
+""".format(boxes=", ".join(f"sum(CASE WHEN hoop THEN (CASE WHEN i = 1 THEN 1 ELSE 0.05 END) * h[{q}] * pow(0.95, -i) END) OVER w"
+                           f" * pow(0.95, i) AS b{q}" for q in (1, 2, 3, 4)),
+           last=", ".join(f"arg_max(b{q}, (ts, frame)) AS {c}" for q, c in ((1, "x1"), (2, "y1"), (3, "x2"), (4, "y2"))))
+
+
+@query("reference_stream", REFERENCE_SQL, {6: "min_dist x1 y1 x2 y2"})
 def _(s, d):
-    """Running reference and events around it from a stream."""
-    ev = W.stream_table(s, d, "events").select(
-        "user_id", F.col("ts").cast("timestamp").alias("ts"), "value",
-        (F.col("value") * 0.5 + 40).alias("center"))
-    return W.run_available(W.reference_events(ev, "user_id", 7200.0))
+    """Running hoop box and events in its zone from a stream, folded by event time."""
+    ev = W.stream_table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    value, hoop, ball = F.sqrt("value"), F.col("event_type") != "view", F.col("event_id") % 3 != 0
+    bx, by = F.col("event_id") % 300 + 310.0, F.col("event_id") * 7 % 200 + 110.0
+    boxes = dict(zip(W.HOOP, [F.when(hoop, v) for v in (value + 300, F.lit(200.0), value + 520, value / 2 + 330)]))
+    boxes |= dict(zip(W.BALL, [F.when(ball, v) for v in (bx - 10, by - 10, bx + 10, by + 10)]))
+    rows = ev.select("user_id", "ts", F.col("event_id").alias("frame"), *[v.alias(n) for n, v in boxes.items()])
+    return W.run_available(W.reference_events(rows, "user_id", 7200.0))
 
 
 @query("match_stream", """SELECT c.user_id, c.event_id AS ev_id, w.event_id AS win_id FROM events c

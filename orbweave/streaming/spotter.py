@@ -1,7 +1,7 @@
 """Event spotting on streams: sessions of hits, running reference state, event-to-window joins.
 
-Late rows: anything older than the watermark is dropped by Spark; on-time data gives the same
-events as the batch operators.
+Late rows: anything older than the watermark is dropped by Spark; other data gives the same events as the batch
+operators, however it is cut into batches.
 """
 
 from __future__ import annotations
@@ -28,67 +28,105 @@ def hit_sessions(hits: DataFrame, keys: Sequence[str], ts: str = "ts", gap: str
         F.col("_best.dist").alias("min_dist"))
 
 
-REFERENCE_OUT = "key string, event_t timestamp, t_first timestamp, n_hits long, min_dist double, ref double"
-REFERENCE_STATE = ("ref double, first timestamp, last timestamp, best timestamp, dist double, n long, "
-                   "event_ref double")
+REFERENCE_OUT = ("key string, event_t timestamp, t_first timestamp, t_last timestamp, n_hits long, min_dist double, "
+                 "x1 double, y1 double, x2 double, y2 double")
+REFERENCE_STATE = ("waiting binary, box array<double>, first long, last long, best long, dist double, hits long, "
+                   "at array<double>")
+_WIDTH = 10                       # of a waiting row: time, frame, hoop box, ball box
 
 
-def _events_of(times, values, refs, gap_s: float, reach: float, open_event):
-    """Closed events and the open one, from rows in time order; an event is (first, last, best, dist, n, ref)."""
-    done, event = [], open_event
-    for i in (abs(values - refs) <= reach).nonzero()[0]:
-        ts, d, ref = times[i], abs(values[i] - refs[i]), refs[i]
-        if event is not None and (ts - event[1]).total_seconds() > gap_s:
-            done.append(event)
+def in_zone_of(box: np.ndarray, x: np.ndarray, y: np.ndarray, above: float = 1.2) -> np.ndarray:
+    """Which points lie in the arrival zone of a box: a little wider, ``above`` heights up, down to its floor."""
+    wide, high = box[2] - box[0], box[3] - box[1]
+    return (x >= box[0] - 0.2 * wide) & (x <= box[2] + 0.2 * wide) & (y >= box[1] - above * high) & (y <= box[3])
+
+
+def fold_frames(rows: np.ndarray, box, event, gap_us: float, keep: float):
+    """Fold rows in time order: (running box, open event, closed events).
+
+    ``rows``: time in microseconds, frame, hoop box and ball box, NaN where there is none; rows of one time and frame are
+    one frame with several balls.  An event is (first, last, best, distance, hits, box at the last hit).
+    """
+    closed = []
+    order = np.lexsort(rows.T[::-1])
+    rows = rows[order]
+    edges = np.flatnonzero(np.append(True, (np.diff(rows[:, :2], axis=0) != 0).any(1))) if len(rows) else []
+    for frame in np.split(rows, edges[1:]) if len(rows) else ():
+        hoops = frame[~np.isnan(frame[:, 2:6]).any(1), 2:6]
+        if len(hoops):
+            box = hoops[0].copy() if box is None else keep * box + (1 - keep) * hoops[0]
+        if box is None:
+            continue
+        balls = frame[~np.isnan(frame[:, 6:]).any(1), 6:]
+        x, y = (balls[:, 0] + balls[:, 2]) / 2, (balls[:, 1] + balls[:, 3]) / 2
+        near = in_zone_of(box, x, y)
+        if not near.any():
+            continue
+        dist = float(np.hypot(x[near] - (box[0] + box[2]) / 2, y[near] - (box[1] + box[3]) / 2).min())
+        t = int(frame[0, 0])
+        if event is not None and t - event[1] > gap_us:
+            closed.append(event)
             event = None
         if event is None:
-            event = (ts, ts, ts, d, 1, ref)
+            event = (t, t, t, dist, 1, box)
         else:
-            first, _, best, dist, n, _ = event
-            event = (first, ts, *((ts, d) if d < dist else (best, dist)), n + 1, ref)
-    return done, event
+            event = (event[0], t, *((t, dist) if dist < event[3] else event[2:4]), event[4] + 1, box)
+    return box, event, closed
 
 
-def _track(gap_s: float, keep: float, reach: float):
-    """State function: moving reference per key, open event, closed events out.
+def _reference_state(gap_s: float, keep: float, min_hits: int, reach: float):
+    """State function: rows wait until the watermark has passed their time, then they are folded in order.
 
-    The reference is kept for the whole stream; a timeout closes the open event only, so the cut into
-    batches does not show.
+    Nothing depends on when a row came, only on its time, so neither the cut into batches nor the order in them shows.
     """
+    gap_us = gap_s * 1e6
+
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ref, *event = state.get if state.exists else (None,) * 7
-        event = None if event[0] is None else tuple(event)
-        done = []
-        if state.hasTimedOut:
-            if event is not None:
-                done, event = [event], None
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "value", "center"])
-            refs = []
-            for center in rows["center"]:
-                ref = center if ref is None else keep * ref + (1 - keep) * center
-                refs.append(ref)
-            done, event = _events_of(list(rows["ts"]), rows["value"].to_numpy(), np.array(refs), gap_s, reach, event)
-        state.update((ref, *(event or (None,) * 6)))
+        waiting, box, first, last, best, dist, hits, at = state.get if state.exists else (b"", *(None,) * 7)
+        held = [np.frombuffer(waiting, "f8").reshape(-1, _WIDTH)]
+        if not state.hasTimedOut:
+            for pdf in batches:
+                t = pdf["ts"].to_numpy().astype("datetime64[us]").astype("i8").astype("f8")
+                held.append(np.column_stack([t, pdf.drop(columns=["key", "ts"]).to_numpy("f8", na_value=np.nan)]))
+        rows = np.concatenate(held)
+        now = state.getCurrentWatermarkMs() * 1000
+        due = rows[:, 0] <= now
+        event = None if first is None else (first, last, best, dist, hits, np.array(at))
+        box, event, closed = fold_frames(rows[due], None if box is None else np.array(box), event, gap_us, keep)
+        rows = rows[~due]
+        if event is not None and now > event[1] + gap_us:
+            closed, event = [*closed, event], None
+        opened = (None,) * 6 if event is None else (*event[:5], event[5].tolist())
+        state.update((rows.tobytes(), None if box is None else box.tolist(), *opened))
+        wake = [rows[:, 0].min() / 1000] if len(rows) else []
         if event is not None:
-            wake = int(event[1].timestamp() * 1000 + gap_s * 1000) + 1
-            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-        out = [(key[0], best, first, n, dist, at) for first, _, best, dist, n, at in done if n >= 2]
-        yield pd.DataFrame(out, columns=["key", "event_t", "t_first", "n_hits", "min_dist", "ref"])
+            wake.append((event[1] + gap_us) / 1000)
+        if wake:
+            state.setTimeoutTimestamp(max(int(min(wake)) + 1, state.getCurrentWatermarkMs() + 1))
+        out = [(key[0], *(pd.Timestamp(v, unit="us") for v in (e[2], e[0], e[1])), e[4], e[3], *e[5].tolist())
+               for e in closed if e[4] >= min_hits and e[3] < reach * (e[5][2] - e[5][0])]
+        yield pd.DataFrame(out, columns=["key", "event_t", "t_first", "t_last", "n_hits", "min_dist", "x1", "y1", "x2", "y2"])
     return run
 
 
-def reference_events(rows: DataFrame, key: str, gap_s: float, keep: float = 0.95, reach: float = 50.0,
-                     delay: str = "0 seconds") -> DataFrame:
-    """Running reference and events around it, per key; ``rows``: key, ts, value, center.
+HOOP, BALL = ("hoop_x1", "hoop_y1", "hoop_x2", "hoop_y2"), ("ball_x1", "ball_y1", "ball_x2", "ball_y2")
+
+
+def reference_events(rows: DataFrame, key: str, gap_s: float = 2.0, keep: float = 0.95, delay: str = "0 seconds",
+                     min_hits: int = 2, reach: float = 99.0) -> DataFrame:
+    """Running hoop box and the events of balls in its zone, per key.
 
-    State per key is seven values; a closed event leaves when its gap passes the watermark, with the
-    reference at its last hit.
+    ``rows``: key, ts, frame, a hoop box and a ball box (null where none was found); several rows of one time and frame
+    are one frame with several balls, whose nearest counts.  Rows wait in the state until the watermark passes
+    them and are folded in the order of time and frame, so the result depends neither on arrival within ``delay`` nor on
+    batches.  Later rows are dropped.  An event leaves when its gap passes the watermark, with the box at its last hit.
+    The state of a key is its open event and the rows of the last ``delay``.
     """
-    src = rows.withWatermark("ts", delay).select(F.col(key).cast("string").alias("key"), "ts", "value",
-                                                 "center")
+    src = rows.withWatermark("ts", delay).select(
+        F.col(key).cast("string").alias("key"), "ts", F.col("frame").cast("double").alias("frame"),
+        *[F.col(c).cast("double").alias(c) for c in (*HOOP, *BALL)])
     return src.groupBy("key").applyInPandasWithState(
-        _track(gap_s, keep, reach), REFERENCE_OUT, REFERENCE_STATE, "append",
+        _reference_state(gap_s, keep, min_hits, reach), REFERENCE_OUT, REFERENCE_STATE, "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
