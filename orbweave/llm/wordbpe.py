@@ -18,8 +18,17 @@ CACHE_WORDS = 600_000
 #: What the file must say for texts to be cut into words and runs (fixed values of the format).
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
-_PLAIN = re.compile(rb"[!-&(-;=-~]+")                 # ASCII without space, apostrophe and the sign of special tokens
+#: Lower-case letters that no normalisation changes: a to z and those of the Latin blocks up to U+024F.
+_LETTERS = "a-z" + "".join(c for c in map(chr, range(0xDF, 0x250)) if c.isalpha() and c.lower() == c)
+_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_PLAIN = re.compile(f"[!-&(-;=@\\[-~{_LETTERS}]+")      # with other ASCII but space, capitals, apostrophe and the sign of special tokens
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else one after U+0100."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
 def cut_at_words(spec: dict) -> bool:
@@ -34,11 +43,34 @@ def cut_at_words(spec: dict) -> bool:
             and all(t["special"] and not t["normalized"] and t["content"].startswith("<") for t in spec.get("added_tokens", ())))
 
 
+class _Words(dict):
+    """Ids by word; a word that is missing is learned when it is asked for."""
+
+    def __init__(self, lib):
+        self._lib, self._merges, self._letters = lib, lib.model.tokenize, byte_letters()
+
+    def _run(self, run: str) -> bytes:
+        data = run.encode()
+        if data not in self:
+            self[data] = b"".join([t.id.to_bytes(4, "little") for t in self._merges(
+                run if run.isascii() else "".join([self._letters[b] for b in data]))])
+        return self[data]
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _PLAIN.fullmatch(text):
+            ids = b"".join(map(self._run, _RUNS.findall(text)))
+        else:
+            ids = b"".join([i.to_bytes(4, "little") for i in self._lib.encode(text, add_special_tokens=False).ids])
+        self[word] = ids
+        return ids
+
+
 class WordIds:
     """Little-endian 32-bit ids of texts; ``tokenizer`` is the path of a tokenizers file.
 
     A file of another kind is used as it is: whole texts go through the library.  Bytes that are not UTF-8 count as
-    U+FFFD.  At most ``CACHE_WORDS`` words are remembered; when there are more the memory starts anew.
+    U+FFFD.  When more than ``CACHE_WORDS`` words are remembered the memory starts anew with the next texts.
     """
 
     def __init__(self, tokenizer: str):
@@ -48,42 +80,20 @@ class WordIds:
         self._np, self._lib = np, Tokenizer.from_file(tokenizer)
         with open(tokenizer, encoding="utf-8") as f:
             self.by_word = cut_at_words(json.load(f))
-        self._known: dict[bytes, bytes] = {}
-
-    def _encode(self, values: list[str]) -> list[bytes]:
-        return [self._np.array(e.ids, dtype="<u4").tobytes()
-                for e in self._lib.encode_batch_fast(values, add_special_tokens=False)]
-
-    def _learn(self, words) -> None:
-        known, merges = self._known, self._lib.model.tokenize
-        plain, other = [], []
-        for w in words:
-            (plain if _PLAIN.fullmatch(w) else other).append(w)
-        for w in plain:
-            runs = _RUNS.findall(w)
-            for run in runs:
-                if run not in known:
-                    known[run] = b"".join(t.id.to_bytes(4, "little") for t in merges(run.decode()))
-            if len(runs) > 1:
-                known[w] = b"".join(map(known.__getitem__, runs))
-        for at in range(0, len(other), 20_000):
-            part = other[at:at + 20_000]
-            known.update(zip(part, self._encode([w.decode() for w in part])))
+        self._known = _Words(self._lib)
 
     def encode_all(self, values: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
         values = [utf8(v) for v in values]
         if not self.by_word:
-            return self._encode([v.decode() for v in values])
+            return [self._np.array(e.ids, dtype="<u4").tobytes() for e in self._lib.encode_batch_fast(
+                [v.decode() for v in values], add_special_tokens=False)]
+        if len(self._known) > CACHE_WORDS:
+            self._known.clear()
+        ids = self._known.__getitem__
         # the vocabulary lower-cases itself; a "<" may begin a special token, whose case counts
-        split = [[w if b"<" in w else w.lower() for w in v.split()] if b"<" in v else v.lower().split() for v in values]
-        known = self._known
-        new = set().union(*split).difference(known) if split else ()
-        if new and len(known) > CACHE_WORDS:
-            known.clear()
-            new = set().union(*split)
-        self._learn(new)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join(map(ids, [w if b"<" in w else w.lower() for w in v.split()] if b"<" in v else v.lower().split()))
+                for v in values]
 
 
 _held: dict[str, WordIds] = {}
