@@ -146,6 +146,28 @@ def _(s, d):
     return H.single_camera(x, H.SHOT, K.NEAR_HOOP_BOX)
 
 
+@query("approach_extrapolation", f"""WITH {SAMPLES_CTE},
+ap AS (SELECT {K2}, frame, t, nr_x AS cx, nr_y + 0.4 * frame * frame AS cy, z / 10 AS bw, 1000.0 + shot % 50 AS ry FROM samples
+ WHERE abs(nr_x - 900) <= 400 AND nr_y + 0.4 * frame * frame <= 1000.0 + shot % 50 + 300),
+ao AS (SELECT *, t - first_value(t) OVER (PARTITION BY {K2} ORDER BY frame) AS u FROM ap),
+am AS (SELECT {K2}, count(*) AS n, sum(u) AS s1, sum(u*u) AS s2, sum(u*u*u) AS s3, sum(u*u*u*u) AS s4, sum(cy-ry) AS y0,
+ sum(u*(cy-ry)) AS y1, sum(u*u*(cy-ry)) AS y2, CASE WHEN count(*) > 1 THEN regr_slope(cx, u) END AS m,
+ CASE WHEN count(*) > 1 THEN regr_intercept(cx, u) END AS q FROM ao GROUP BY {K2}),
+af AS (SELECT *, n*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2) AS w FROM am),
+ag AS (SELECT *, (y0*(s2*s4-s3*s3) - s1*(y1*s4-s3*y2) + s2*(y1*s3-s2*y2)) / nullif(w, 0) AS c,
+ (n*(y1*s4-s3*y2) - y0*(s1*s4-s2*s3) + s2*(s1*y2-s2*y1)) / nullif(w, 0) AS b,
+ (n*(s2*y2-s3*y1) - s1*(s1*y2-s2*y1) + y0*(s1*s3-s2*s2)) / nullif(w, 0) AS a FROM af),
+ah AS (SELECT {K2}, n, m, q, CASE WHEN n >= 5 AND a > 0 AND b*b - 4*a*c > 0 THEN (sqrt(b*b - 4*a*c) - b) / (2*a) END AS t_cross FROM ag),
+ab AS (SELECT {K2}, arg_min(bw, (abs(u - t_cross), frame)) AS bw FROM ao JOIN ah USING ({K2}) GROUP BY {K2})
+SELECT {K2}, n, CAST(t_cross IS NOT NULL AS INTEGER) AS crossing, t_cross, abs(q + m * t_cross - 900) / (100 + 1e-6) AS lateral,
+ CASE WHEN t_cross IS NOT NULL THEN bw / (200 + 1e-6) END AS depth FROM ah JOIN ab USING ({K2})""", {4: "t_cross lateral depth"})
+def _(s, d):
+    x, f = samples(s, d), F.col("frame")
+    rows = x.select(*H.SHOT, "frame", "t", F.col("nr_x").alias("cx"), (F.col("nr_y") + 0.4 * f * f).alias("cy"), (F.col("z") / 10).alias("bw"),
+                    F.lit(900.0).alias("rim_cx"), (F.col("shot") % 50 + 1000.0).alias("rim_cy"), F.lit(200.0).alias("rim_w"), F.lit(150.0).alias("rim_h"))
+    return H.approach_extrapolation(rows)
+
+
 WALK_CTE = f"""WITH RECURSIVE {SAMPLES_CTE},
 cn AS (SELECT *, row_number() OVER (PARTITION BY {K2} ORDER BY frame) AS pos FROM samples
  WHERE x > 800 AND x < 2600 AND y > 0 AND y < 1430 AND z > -50 AND z < 1100),

@@ -195,3 +195,25 @@ def test_regions_golden(spark, fn, want):
     df = spark.createDataFrame([(100.0, 50.0, 40.0, 20.0)], "rim_x double, rim_y double, rim_w double, rim_h double")
     r = df.select(fn().alias("r")).first().r
     assert (r.x, r.y, r.w, r.h) == want
+
+
+def test_approach_extrapolation_equals_polyfit(spark):
+    rng = np.random.default_rng(4)
+    rows, expect = [], {}
+    for shot, n in enumerate([12, 9, 4, 15]):
+        t = np.arange(n) / 30 + shot
+        cx = 950 + 40 * (t - t[0]) + rng.normal(0, 2, n)
+        cy = 500 + (300 if shot < 3 else -300) * (t - t[0]) ** 2 * 4 + 200 * (t - t[0]) + rng.normal(0, 1, n)
+        rows += [("G", shot, i, *map(float, v), 960.0, 640.0, 120.0, 90.0) for i, v in enumerate(zip(t, cx, cy, 30 + np.arange(n)))]
+        if n >= 5 and shot < 3:
+            u = t - t[0]
+            a, b, c = np.polyfit(u, cy, 2)
+            root = max(np.roots([a, b, c - 640.0]).real)
+            at = np.polyval(np.polyfit(u, cx, 1), root)
+            expect[shot] = (root, abs(at - 960) / (60 + 1e-6), (30 + np.abs(u - root).argmin()) / (120 + 1e-6))
+    df = spark.createDataFrame(rows, "game_id string, shot int, frame int, t double, cx double, cy double, bw double, "
+                                     "rim_cx double, rim_cy double, rim_w double, rim_h double")
+    got = {r.shot: r for r in H.approach_extrapolation(df).collect()}
+    assert [got[i].crossing for i in range(4)] == [1, 1, 0, 0] and got[2].lateral is None and got[3].depth is None
+    for shot, values in expect.items():
+        assert np.allclose((got[shot].t_cross, got[shot].lateral, got[shot].depth), values, rtol=1e-6)
