@@ -17,7 +17,7 @@ def stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = []
     for name, stage in corpus_pipeline.STAGES:
-        made = stage(spark, docs, SF).localCheckpoint() if False else stage(spark, docs, SF).checkpoint()
+        made = stage(spark, docs, SF).checkpoint()
         out.append((name, docs, made))
         docs = made
     return out
