@@ -15,6 +15,8 @@ from orbweave.llm.sieve import BYTE_POWERS, BYTES, Prefix, held, mix, sieve
 SPAN = 50                  # bytes of a repeated string
 GRAM = 16                  # bytes of an anchor
 RUN = 64                   # most starts in one segment
+JOINED = 8                 # segments in a stretch, on average
+LONGEST = 32               # most segments in a stretch
 BLOCK = 1 << 20            # bytes of text looked at at once
 PRINTS = 1 << 20           # anchors counted at once
 BUCKET = 1 << 20           # bytes of segments whose transforms are merged by one task
@@ -245,31 +247,44 @@ def _repeated_anchors(texts: DataFrame, span: int) -> DataFrame:
     return texts.mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(twice, "fp bigint")
 
 
+def stretches(block: Block, mine: np.ndarray):
+    """Neighbouring segments of a block joined into stretches: (row, first start, number of starts) of each.
+
+    ``mine``: the segments looked at.  One whose anchor is a multiple of ``JOINED`` begins a stretch, so texts that
+    agree over a long way are cut alike; where a stretch is cut decides what is held once, never what repeats.
+    """
+    row, start, count = block.row[mine], block.start[mine], block.count[mine]
+    fresh = np.ones(len(mine), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + count[:-1]) | (place_of(block.anchor[mine])[1:] % np.uint64(JOINED) == 0)
+    nth = np.arange(len(mine))
+    nth -= np.maximum.accumulate(np.where(fresh, nth, 0))
+    first = np.flatnonzero(nth % LONGEST == 0)
+    return row[first], start[first], np.add.reduceat(count, first) if len(first) else count[:0]
+
+
 def _occurrences(texts: DataFrame, bits, span: int) -> DataFrame:
-    """Segments around repeated anchors: digest, key, text_hash, at; the first of equal ones in a block also has the
-    anchor (fp), its bytes (part), the smallest key there (low) and their number (copies)."""
+    """Stretches of repeated anchors: digest, key, text_hash, at; the first of equal ones in a block also has its bytes
+    (part), the smallest key there (low) and their number (copies)."""
     kind = texts.schema["key"].dataType
     types = {"part": pa.binary(), "digest": pa.binary(), "key": to_arrow_type(kind), "low": to_arrow_type(kind),
-             "fp": pa.int64(), "text_hash": pa.int64(), "at": pa.int64(), "copies": pa.int64()}
+             "text_hash": pa.int64(), "at": pa.int64(), "copies": pa.int64()}
 
     def run(batches):
         for block in blocks(batches, span):
             seen: dict[bytes, list] = {}
-            out: dict[str, list] = {n: [] for n in ("fp", "digest", "key", "text_hash", "at", "part", "low", "copies")}
+            out: dict[str, list] = {n: [] for n in ("digest", "key", "text_hash", "at", "part", "low", "copies")}
             first = np.append(0, block.stops[:-1])
-            mine = np.flatnonzero(held(bits.value, place_of(block.anchor)))
-            row = block.row[mine]
-            start, anchor = block.start[mine], block.anchor[mine]
-            stop = (start + block.count[mine] + span - 1).tolist()
-            for fp, r, s, e, at in zip(anchor.tolist(), row.tolist(), start.tolist(), stop, (start - first[row]).tolist()):
+            row, start, count = stretches(block, np.flatnonzero(held(bits.value, place_of(block.anchor))))
+            stop = (start + count + span - 1).tolist()
+            for r, s, e, at in zip(row.tolist(), start.tolist(), stop, (start - first[row]).tolist()):
                 part, source = block.raw[s:e], block.rows[r]
                 known = seen.get(part)
                 if known is None:
-                    known = seen[part] = [digest_of(fp, part), len(out["at"])]
-                    for n, v in (("fp", fp - (1 << 64) if fp >> 63 else fp), ("part", part), ("low", source[0]), ("copies", 0)):
+                    known = seen[part] = [digest_of(0, part), len(out["at"])]
+                    for n, v in (("part", part), ("low", source[0]), ("copies", 0)):
                         out[n].append(v)
                 else:
-                    for n in ("fp", "part", "low", "copies"):
+                    for n in ("part", "low", "copies"):
                         out[n].append(None)
                     out["low"][known[1]] = min(out["low"][known[1]], source[0])
                 out["copies"][known[1]] += 1
@@ -280,30 +295,34 @@ def _occurrences(texts: DataFrame, bits, span: int) -> DataFrame:
             if out["at"]:
                 yield _batch(out, types)
     k = kind.simpleString()
-    return texts.mapInArrow(run, f"fp bigint, digest binary, key {k}, text_hash bigint, at bigint, part binary, low {k}, copies bigint")
+    return texts.mapInArrow(run, f"digest binary, key {k}, text_hash bigint, at bigint, part binary, low {k}, copies bigint")
 
 
-def _dealt_anew(units: DataFrame, span: int, level: int) -> DataFrame:
-    """The segments of hot anchors cut by another hash: owner, off (place in it), copies, and fp, digest, part, low."""
+def _dealt(units: DataFrame, span: int, level: int, bits=None) -> DataFrame:
+    """Units cut into segments by the hash of a level: owner (digest of the unit), n (its copies), off (place in it) and
+    fp, digest, part, low, copies (1).  ``bits``: anchors to which this is confined."""
     kind = units.schema["low"].dataType
-    types = {"owner": pa.binary(), "digest": pa.binary(), "part": pa.binary(), "low": to_arrow_type(kind), "copies": pa.int64()}
+    types = {"owner": pa.binary(), "digest": pa.binary(), "part": pa.binary(), "low": to_arrow_type(kind), "n": pa.int64()}
 
     def run(batches):
-        for b in slices(batches, 5000):
+        for b in slices(batches, 3000):
             parts, fps = b.column("part").to_pylist(), b.column("fp").to_numpy().view("u8")
             stops = np.cumsum([len(p) for p in parts])
             raw = b"".join(parts)
             anchor, start, count = segments(np.frombuffer(raw, "u1"), stops, span, level)
+            if bits is not None:
+                mine = np.flatnonzero(held(bits.value, place_of(anchor)))
+                anchor, start, count = anchor[mine], start[mine], count[mine]
             row = np.searchsorted(stops, start, side="right")
             fp = mix(anchor ^ fps[row])
             pieces = [raw[s:s + c + span - 1] for s, c in zip(start.tolist(), count.tolist())]
             yield _batch({
-                "owner": b.column("digest").take(pa.array(row)), "off": (start - np.append(0, stops)[row]).astype("i4"),
-                "copies": b.column("copies").take(pa.array(row)), "fp": fp.view("i8"),
+                "owner": b.column("digest").take(pa.array(row)), "n": b.column("copies").take(pa.array(row)),
+                "off": (start - np.append(0, stops)[row]).astype("i4"), "fp": fp.view("i8"),
                 "digest": [digest_of(f, p) for f, p in zip(fp.tolist(), pieces)], "part": pieces,
-                "low": b.column("low").take(pa.array(row))}, types)
+                "low": b.column("low").take(pa.array(row)), "copies": np.ones(len(row), "i8")}, types)
     return units.select("fp", "digest", "part", "low", "copies").mapInArrow(
-        run, f"owner binary, off int, copies bigint, fp bigint, digest binary, part binary, low {kind.simpleString()}")
+        run, f"owner binary, n bigint, off int, fp bigint, digest binary, part binary, low {kind.simpleString()}, copies bigint")
 
 
 def _merged(units: DataFrame, span: int, total: int) -> DataFrame:
@@ -352,17 +371,25 @@ def repeated_starts(texts: DataFrame, span: int = SPAN) -> DataFrame:
     """Starts of strings of ``span`` bytes that a smaller key has too: key, text_hash, start, n (starts in a row).
 
     ``texts``: key, text_hash, text (binary).  Equal strings have equal anchors.  So segments around anchors of one key
-    alone are not looked at, equal segments are held once with their smallest key, and a segment that is the only one
-    of its anchor shares no string with another; the transforms are built of all others.  Segments of an anchor that has
-    more than a bucket of them are dealt out again by other hashes of what they hold.
+    alone are not looked at.  Neighbouring others are joined into stretches, and equal stretches are held once with their
+    smallest key.  Only segments around anchors that different stretches share go on: equal ones are held once, one that
+    is the only one of its anchor shares no string with another, and the transforms are built of the rest.  Segments of
+    an anchor that has more than a bucket of them are dealt out again by other hashes of what they hold.
     """
+    spark = texts.sparkSession
     anchors = written(_repeated_anchors(texts, span), "anchors")
-    bits = texts.sparkSession.sparkContext.broadcast(sieve(anchors))
-    found = written(_occurrences(texts, bits, span), "segments")
-    parts, links, passing = found.where(F.col("part").isNotNull()).select("fp", "digest", "part", "low", "copies"), [], [anchors]
+    found = written(_occurrences(texts, spark.sparkContext.broadcast(sieve(anchors)), span), "stretches")
+    discard(anchors)
+
+    def once(df, *on):
+        return df.groupBy(*on).agg(F.first("part").alias("part"), F.min("low").alias("low"), F.sum("copies").alias("copies"))
 
-    def once(df):
-        return df.groupBy("fp", "digest").agg(F.first("part").alias("part"), F.min("low").alias("low"), F.sum("copies").alias("copies"))
+    whole = written(once(found.where(F.col("part").isNotNull()), "digest").withColumn("fp", F.lit(0).cast("long")), "distinct")
+    shared = written(_repeated_anchors(whole.select(
+        F.col("digest").alias("key"), F.lit(0).cast("long").alias("text_hash"), F.col("part").alias("text")), span), "shared")
+    pieces = written(_dealt(whole, span, 0, spark.sparkContext.broadcast(sieve(shared))), "pieces")
+    links, passing = [pieces], [shared, pieces]
+    parts = pieces.select("fp", "digest", "part", "low", "copies")
 
     def too_many(df):
         """Anchors with more than a bucket of segments: at most bytes / BUCKET rows."""
@@ -370,36 +397,39 @@ def repeated_starts(texts: DataFrame, span: int = SPAN) -> DataFrame:
         return F.broadcast(passing[-1]), not passing[-1].isEmpty()
     hot, some = too_many(parts)
     if some:
-        hot_parts = written(once(parts.join(hot, "fp")), "hot-segments")
+        hot_parts = written(once(parts.join(hot, "fp"), "fp", "digest"), "hot-segments")
         passing.append(hot_parts)
         parts = parts.join(hot, "fp", "left_anti")
         for level in range(1, LEVELS + 1):
             hot, some = too_many(hot_parts)
             if not some:
                 break
-            anew = written(_dealt_anew(hot_parts.join(hot, "fp"), span, level), "dealt-anew")
-            links.append(anew.select("owner", "off", "digest"))
+            anew = written(_dealt(hot_parts.join(hot, "fp"), span, level), "dealt-anew")
+            links.append(anew)
+            passing.append(anew)
             parts = parts.unionByName(hot_parts.join(hot, "fp", "left_anti"))
-            hot_parts = written(once(anew.select("fp", "digest", "part", "low", "copies")), "hot-segments")
+            hot_parts = written(once(anew, "fp", "digest"), "hot-segments")
             passing.append(hot_parts)
         parts = parts.unionByName(hot_parts)
-    units = written(
-        once(parts.repartition("fp")).withColumn("variants", F.count(F.lit(1)).over(Window.partitionBy("fp"))), "units")
+    units = written(once(parts.repartition("fp"), "fp", "digest").withColumn(
+        "variants", F.count(F.lit(1)).over(Window.partitionBy("fp"))), "units")
     passing.append(units)
     several = units.where("variants > 1")
     total = several.agg(F.coalesce(F.sum(F.length("part")), F.lit(0))).first()[0]
-    alone = units.where("variants = 1 AND copies > 1").select("digest", F.array(F.struct(
-        F.lit(0).alias("off"), (F.length("part") - (span - 1)).alias("n"), "low")).alias("runs"), "copies")
-    runs = written(_merged(several, span, total).unionByName(alone), "runs")
-    if links:
-        copies = found.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-        for link in reversed(links):
-            moved = link.join(runs.select("digest", F.col("runs").alias("r")), "digest").select(
-                "owner", F.expr("transform(r, x -> struct(x.off + off AS off, x.n AS n, x.low AS low))").alias("r"))
-            runs = runs.select("digest", "runs").unionByName(moved.groupBy(F.col("owner").alias("digest")).agg(
-                F.flatten(F.collect_list("r")).alias("runs")))
-        runs = written(runs.join(copies, "digest"), "runs")
-    discard(*passing)
+
+    def as_one(df):
+        """Units of several copies repeat as a whole."""
+        return df.where("copies > 1").select("digest", F.array(F.struct(
+            F.lit(0).alias("off"), (F.length("part") - (span - 1)).alias("n"), "low")).alias("runs"), "copies")
+    runs = written(_merged(several, span, total).unionByName(as_one(units.where("variants = 1"))), "runs")
+    passing.append(runs)
+    for link in reversed(links):
+        moved = join_back(link.select("owner", "n", "off", "digest"), runs, "digest", "copies", link.count()).select(
+            "owner", "n", F.expr("transform(runs, x -> struct(x.off + off AS off, x.n AS n, x.low AS low))").alias("r"))
+        moved = moved.groupBy(F.col("owner").alias("digest")).agg(F.flatten(F.collect_list("r")).alias("runs"), F.max("n").alias("copies"))
+        runs = written(moved.unionByName(as_one(whole) if link is pieces else runs), "runs")
+        passing.append(runs)
+    discard(*passing[:-1], whole)
     places = join_back(found.select("digest", "key", "text_hash", "at"), runs, "digest", "copies", found.count())
     return places.select("key", "text_hash", "at", F.explode("runs").alias("r")).where(F.col("r.low") < F.col("key")).select(
         "key", "text_hash", (F.col("at") + F.col("r.off")).alias("start"), F.col("r.n").alias("n"))
