@@ -19,7 +19,7 @@ JOINED = 8                 # segments in a stretch, on average
 LONGEST = 32               # most segments in a stretch
 BLOCK = 1 << 20            # bytes of text looked at at once
 PRINTS = 1 << 20           # anchors counted at once
-BUCKET = 1 << 20           # bytes of segments whose transforms are merged by one task
+BUCKET = 1 << 18           # bytes of segments whose transforms are merged by one task
 SHARDS = 2                 # transforms of a bucket, each built by a task of its own
 LEVELS = 8                 # times that the segments of a hot anchor are dealt out anew
 
