@@ -12,7 +12,6 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window, functions as F
 
 from orbweave.functions.lineage import cut
@@ -212,26 +211,6 @@ def permutation_importance(model, df: DataFrame, cols: Sequence[str], repeats: i
         .orderBy(F.col("importance").desc())
 
 
-def log_odds(c: str):
-    p = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col(c)))
-    return F.log(p / (1 - p))
-
-
-def stack_scores(df: DataFrame, a: str = "prob", b: str = "prob2", game: str = "game_id") -> DataFrame:
-    """Leave-one-game-out linear least squares on the log-odds of two scores."""
-    d = df.withColumn("_la", log_odds(a)).withColumn("_lb", log_odds(b)) \
-        .withColumn("_y", F.col("label").cast("double"))
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=["_la", "_lb"], outputCol="_x"),
-                            LinearRegression(featuresCol="_x", labelCol="_y", predictionCol="stacked",
-                                             solver="normal")])
-    out = None
-    for g in games_of(d, game):
-        s = pipe.fit(d.filter(F.col(game) != g)).transform(d.filter(F.col(game) == g))
-        s = s.select(*df.columns, "stacked")
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
 def head_to_head(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:
     """Metrics of two variants side by side (label, pred on each side)."""
     u = a.select("label", "pred").withColumn("variant", F.lit(names[0])).unionByName(

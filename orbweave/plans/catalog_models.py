@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import ordered
 from orbweave.functions import fixed as K
-from orbweave.operators import boost, evaluate as E, learn as Y, shotmodel, signal as G, spotting as P, trajectory as H
+from orbweave.operators import boost, evaluate as E, learn as Y, shotmodel, signal as G, spotting as P, stack, trajectory as H
 from orbweave.plans.catalog_decide import predicted, split_by_game
 from orbweave.plans.inputs import SAMPLES_CTE, SCORED_CTE, samples, scored
 from orbweave.plans.registry import query, table
@@ -204,10 +204,25 @@ def _(s, d):
     return Y.permutation_importance(Y.fit(Y.logistic(FEATS), r), r, FEATS, repeats=10)
 
 
-@query("stack_logo")
+@query("stack_logo", f"""WITH {SCORED_CTE},
+r AS (SELECT doc_id, game_id, label, ln(p/(1-p)) AS a, ln(q/(1-q)) AS b FROM (SELECT *,
+  greatest(1e-4, least(0.9999, prob)) AS p, greatest(1e-4, least(0.9999, prob2)) AS q FROM scored)),
+g AS (SELECT DISTINCT game_id FROM r WHERE game_id IS NOT NULL),
+c AS (SELECT g.game_id, regr_sxx(r.a, r.a) AS aa, regr_sxx(r.b, r.b) AS bb, covar_pop(r.a, r.b)*count(*) AS ab,
+  covar_pop(r.a, r.label)*count(*) AS ay, covar_pop(r.b, r.label)*count(*) AS b_y, avg(r.a) AS ma, avg(r.b) AS mb,
+  avg(r.label) AS my FROM g JOIN r ON r.game_id IS DISTINCT FROM g.game_id GROUP BY g.game_id),
+w AS (SELECT *, (ay*bb - b_y*ab)/(aa*bb - ab*ab) AS wa, (b_y*aa - ay*ab)/(aa*bb - ab*ab) AS wb FROM c)
+SELECT doc_id, label, my + wa*(a - ma) + wb*(b - mb) AS stacked FROM r LEFT JOIN w USING (game_id)""", {6: "stacked"})
 def _(s, d):
     """Stacked score of two probabilities, leave one game out."""
-    return Y.stack_scores(scored(s, d)).select("doc_id", "label", "stacked")
+    return stack.stack_scores(scored(s, d)).select("doc_id", "label", "stacked")
+
+
+@query("stack_logistic")
+def _(s, d):
+    """Two-score logistic stack; no SQL twin, its steps are compared with plain gradient descent in the tests."""
+    r = scored(s, d)
+    return stack.stack_logistic(r, r).select("doc_id", "label", F.round("stacked", 6).alias("stacked"))
 
 
 @query("model_weights")
