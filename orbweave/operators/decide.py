@@ -158,15 +158,50 @@ def apply_corrections(rows: DataFrame, corrections: DataFrame, key: str, label:
 
 
 def gate_search(df: DataFrame, los: Sequence[float], his: Sequence[float], t_main: float,
-                t_other: float, label: str = "label") -> DataFrame:
-    """Accuracy of the band gate for every (lo, hi) pair: one pass, one counter per pair."""
-    def correct(lo, hi):
-        return F.sum((band_gate(lo, hi, t_main, t_other) == F.col(label)).cast("long"))
-    one = df.agg(F.count(F.lit(1)).alias("n"), F.array(*[
-        F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), correct(lo, hi).alias("r"))
-        for lo in los for hi in his]).alias("a"))
-    return one.select("n", F.explode("a").alias("c")).select(
-        "c.lo", "c.hi", "n", (F.col("c.r") / F.col("n")).alias("accuracy"))
+                t_other: float, label: str = "label", a: str = "prob", b: str = "prob2") -> DataFrame:
+    """Accuracy of the band gate for every (lo, hi) pair.
+
+    Rows are counted once by how many borders they have passed, which leaves at most one row per step of the main score;
+    each pair then takes the counts inside its band.  A missing score is never right, and never inside a band.
+    """
+    def right(score, t):
+        return F.coalesce(F.sum(((c(score) >= t).cast("int") == c(label)).cast("long")), F.lit(0))
+
+    def passed(op, borders):
+        return F.coalesce(sum((op(c(a), F.lit(v)).cast("int") for v in borders), F.lit(0)), F.lit(0))
+    steps = df.groupBy(passed(lambda x, v: x >= v, los).alias("i"), passed(lambda x, v: x > v, his).alias("j")).agg(
+        F.count(F.lit(1)).alias("n"), right(a, t_main).alias("main"), right(b, t_other).alias("other"))
+    one = steps.agg(F.sum("n").alias("n"), F.sum("main").alias("main"), F.collect_list(
+        F.struct("i", "j", (F.col("other") - F.col("main")).alias("gain"))).alias("steps"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+                                for k, lo in enumerate(sorted(los)) for m, hi in enumerate(sorted(his))]))
+    gain = F.expr("aggregate(filter(steps, s -> s.i > p.k AND s.j <= p.m), 0L, (x, s) -> x + s.gain)")
+    return one.select("n", "main", "steps", pairs.alias("p")).select(
+        "p.lo", "p.hi", F.coalesce("n", F.lit(0)).alias("n"), ((F.col("main") + gain) / F.col("n")).alias("accuracy"))
+
+
+def flip_search(df: DataFrame, pred: str, ratio: str, cuts: Sequence[float], label: str = "label") -> DataFrame:
+    """Accuracy, good and bad flips of the ratio flip for every cut, and which cut is best (the first of equal ones).
+
+    Makes are counted once by how many cuts their ratio has passed; a cut flips those that have not passed it.  A missing
+    ratio never flips, a missing prediction or label is never right.
+    """
+    order = sorted(cuts)
+    level = F.when(c(pred) == 1, sum((c(ratio) >= F.lit(v)).cast("int") for v in order))
+    levels = df.groupBy(level.alias("level")).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((c(pred) == c(label)).cast("long")), F.lit(0)).alias("right"),
+        *[F.coalesce(F.sum((c(label) == v).cast("long")), F.lit(0)).alias(f"l{v}") for v in (0, 1)])
+    one = levels.agg(F.sum("n").alias("n"), F.sum("right").alias("right"), F.collect_list(F.struct("level", "l0", "l1")).alias("levels"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("cut")) for k, v in enumerate(order)]))
+
+    def flipped(side):
+        return F.expr(f"aggregate(filter(levels, s -> s.level <= p.k), 0L, (x, s) -> x + s.l{side})")
+    out = one.select("n", "right", "levels", each.alias("p")).select(
+        "p.cut", "n", "right", flipped(0).alias("flipped_good"), flipped(1).alias("flipped_bad"))
+    out = out.withColumn("accuracy", (F.col("right") + F.col("flipped_good") - F.col("flipped_bad")) / F.col("n"))
+    best = out.agg(F.max_by("cut", F.struct("accuracy", -F.col("cut"))).alias("best"))
+    return out.join(F.broadcast(best), out.cut == best.best, "left").select(
+        "cut", F.coalesce("n", F.lit(0)).alias("n"), "accuracy", "flipped_good", "flipped_bad", F.col("best").isNotNull().alias("is_best"))
 
 
 def gate_effect(df: DataFrame, pred: str, ratio: str, cut: float, label: str = "label") -> DataFrame:

@@ -415,6 +415,29 @@ def _(s, d):
     return D.gate_search(scored(s, d), [0.2, 0.3, 0.4], [0.5, 0.6, 0.7], 0.5, 0.5)
 
 
+@query("band_grid", f"""WITH {SCORED_CTE},
+g AS (SELECT round(0.15 + 0.05*i, 2)::DOUBLE AS lo, round(0.45 + 0.05*j, 2)::DOUBLE AS hi, label, prob, prob2
+  FROM scored, unnest(range(7)) AS a(i), unnest(range(7)) AS b(j))
+SELECT lo, hi, count(*) AS n, avg(CASE WHEN CASE WHEN prob BETWEEN lo AND hi THEN prob2>=0.5 ELSE prob>=0.5 END = (label=1)
+  THEN 1.0 ELSE 0.0 END) AS accuracy FROM g GROUP BY lo, hi""", {6: "accuracy", 2: "lo hi"})
+def _(s, d):
+    """Every uncertain band of the search grid: lo 0.15 to 0.45, hi 0.45 to 0.75."""
+    steps = range(7)
+    return D.gate_search(scored(s, d), [round(0.15 + 0.05 * i, 2) for i in steps], [round(0.45 + 0.05 * i, 2) for i in steps], 0.5, 0.5)
+
+
+@query("flip_grid", f"""WITH {SCORED_CTE},
+g AS (SELECT round(0.20 + 0.01*i, 2)::DOUBLE AS cut, label, prob>=0.5 AS p, prob2 AS ratio FROM scored, unnest(range(25)) AS a(i)),
+r AS (SELECT cut, count(*) AS n, avg(CASE WHEN (p AND NOT ratio<cut) = (label=1) THEN 1.0 ELSE 0.0 END) AS accuracy,
+  count(*) FILTER (WHERE p AND ratio<cut AND label=0) AS flipped_good, count(*) FILTER (WHERE p AND ratio<cut AND label=1) AS flipped_bad
+  FROM g GROUP BY cut)
+SELECT *, row_number() OVER (ORDER BY flipped_good - flipped_bad DESC, cut) = 1 AS is_best FROM r""", {6: "accuracy", 2: "cut"})
+def _(s, d):
+    """Every cut of the size-ratio flip, 0.20 to 0.44, and the best."""
+    p = scored(s, d).withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
+    return D.flip_search(p, "pred", "prob2", [round(0.20 + 0.01 * i, 2) for i in range(25)])
+
+
 @query("ratio_gate", f"""WITH {SCORED_CTE},
 p AS (SELECT label, CASE WHEN prob>=0.5 THEN 1 ELSE 0 END AS pred, prob2 AS ratio FROM scored),
 f AS (SELECT *, CASE WHEN pred=1 AND ratio<0.28 THEN 0 ELSE pred END AS gated FROM p)
