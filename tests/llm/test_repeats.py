@@ -84,6 +84,17 @@ def test_every_start_has_one_segment(parts, seed):
             assert by.setdefault(raw[s + i:s + i + 20], a) == a
 
 
+def test_stretches_hold_every_start_once():
+    rows = [(k, 0, 0, t.encode()) for k, t in passages(4, 60)] + [(99, 0, 0, b"a" * 9000)]
+    block = repeats.Block(rows, 50)
+    for mine in (np.arange(len(block.anchor)), np.flatnonzero(block.anchor % np.uint64(3) > 0), np.zeros(0, "i8")):
+        row, start, count = repeats.stretches(block, mine)
+        assert [s + i for s, n in zip(start.tolist(), count.tolist()) for i in range(n)] == [
+            s + i for s, n in zip(block.start[mine].tolist(), block.count[mine].tolist()) for i in range(n)]
+        assert (np.searchsorted(block.stops, start, side="right") == row).all()
+        assert len(count) == 0 or count.max() <= repeats.LONGEST * repeats.RUN
+
+
 def test_passages_equal_plain_comparison(spark, verdicts):
     rows = passages(3, 120)
     assert got(repeats.drop_repeats(verdicts(rows))) == plain(rows, 50)
