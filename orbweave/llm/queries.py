@@ -47,9 +47,11 @@ def _(spark, sf_dir):
 @_query("op3_line_dedup", r"""
 WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
-t AS (SELECT doc_id, pos, string_split(trim(regexp_replace(regexp_replace(line, '\S*[0-9]\S*', '<*>', 'g'),
-    '\s+', ' ', 'g')), ' ') AS k FROM l),
-n AS (SELECT *, len(k) AS n, CAST(floor((len(k) - 2) / 4) AS BIGINT) AS s FROM t WHERE len(k) >= 5),
+x AS (SELECT doc_id, pos, trim(regexp_replace(line, '\s+', ' ', 'g')) AS plain,
+    trim(regexp_replace(regexp_replace(line, '\S*[0-9]\S*', '<*>', 'g'), '\s+', ' ', 'g')) AS masked
+  FROM l WHERE regexp_matches(line, '\S')),
+t AS (SELECT doc_id, pos, string_split(CASE WHEN regexp_full_match(masked, '<\*>( <\*>){0,3}') THEN plain ELSE masked END, ' ') AS k FROM x),
+n AS (SELECT *, len(k) AS n, CAST(floor((len(k) - 2) / 4) AS BIGINT) AS s FROM t),
 p AS (SELECT *, concat_ws(chr(1), n, k[1], k[2]) AS lead, array_to_string(k[3:n], chr(1)) AS rest,
     [array_to_string(k[3 : 2 + s], chr(1)), array_to_string(k[3 + s : 2 + 2 * s], chr(1)),
      array_to_string(k[3 + 2 * s : 2 + 3 * s], chr(1)), array_to_string(k[3 + 3 * s : n], chr(1))] AS q FROM n),
@@ -65,8 +67,7 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_drop
 FROM documents LEFT JOIN o USING (doc_id)
 """)
 def _(spark, sf_dir):
-    # the SQL twin has no templates for lines under five tokens
-    kept = linetemplates.drop_recurring_lines(_table(spark, sf_dir, "documents"), "doc_id", "text", least=5)
+    kept = linetemplates.drop_recurring_lines(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
