@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from orbweave.functions import boxes as B
-from orbweave.functions.skew import grouped
-from orbweave.operators.evaluate import ratio
+from orbweave.operators.evaluate import count_if, ratio
 
 
 def overlaps(truth: DataFrame, preds: DataFrame, keys: Sequence[str], floor: float = 0.3,
@@ -34,25 +32,33 @@ def overlaps(truth: DataFrame, preds: DataFrame, keys: Sequence[str], floor: flo
             .select(*keys, "truth_id", "pred_id", "iou"))
 
 
-def _greedy(keys):
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["truth_id", "pred_id"])
-        used, done, keep = set(), set(), []
-        for i, (t, p) in enumerate(zip(pdf["truth_id"], pdf["pred_id"])):
-            if t not in done and p not in used:
-                done.add(t)
-                used.add(p)
-                keep.append(i)
-        return pdf.iloc[keep]
-    return match
-
-
 def match_boxes(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One-to-one: truths in id order take the first free prediction that overlaps.
 
-    Only overlapping pairs of one image and class form a group.
+    A fold over the overlapping pairs of one image and class in (truth, prediction) order; a group is as large as what
+    a detector reports for one image.  A repeated pair counts once.
     """
-    return grouped(pairs, [*keys]).applyInPandas(_greedy(list(keys)), pairs.schema)
+    row = F.struct("truth_id", "pred_id", "iou")
+    truth, pred = pairs.schema["truth_id"].dataType, pairs.schema["pred_id"].dataType
+    kept = F.array().cast(T.ArrayType(pairs.select(row.alias("r")).schema["r"].dataType))
+    start = F.struct(F.lit(None).cast(truth).alias("last"), F.array().cast(T.ArrayType(pred)).alias("used"), kept.alias("kept"))
+
+    def step(state, pair):
+        free = ~state["last"].eqNullSafe(pair["truth_id"]) & ~F.array_contains(state["used"], pair["pred_id"])
+        taken = F.struct(pair["truth_id"].alias("last"), F.array_append(state["used"], pair["pred_id"]).alias("used"),
+                         F.array_append(state["kept"], pair).alias("kept"))
+        return F.when(free, taken).otherwise(state)
+    g = pairs.filter("truth_id IS NOT NULL AND pred_id IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("p"))
+    return g.select(*keys, F.inline(F.aggregate("p", start, step, lambda x: x["kept"])))
+
+
+def moment_recall(truth: DataFrame, matched: DataFrame, image: Sequence[str], moment: str, cls: str) -> DataFrame:
+    """Per class: images of the ``moment`` (a boolean column of ``truth``) with a true box, and the share with any found."""
+    seen = truth.filter(F.col(moment)).select(*image, cls).distinct()
+    hit = matched.select(*image, cls, F.lit(True).alias("_hit")).distinct()
+    return seen.join(hit, [*image, cls], "left").groupBy(cls).agg(
+        F.count(F.lit(1)).alias("n_images"), count_if(F.col("_hit")).alias("n_found")).select(
+        cls, "n_images", "n_found", ratio(F.col("n_found"), F.col("n_images")).alias("recall"))
 
 
 def detector_scores(truth: DataFrame, preds: DataFrame, matched: DataFrame, cls: str) -> DataFrame:

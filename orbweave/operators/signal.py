@@ -88,33 +88,68 @@ def audio_features(rate: int):
     return run
 
 
+# samples of one transform, so that a batch of long waveforms stays small in memory
+BLOCK = 1 << 21
+
+
+def _lags(a: np.ndarray, b: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lag in samples and prominence of the correlation peak for each row of two matrices."""
+    def whiten(x):
+        d = np.diff(x, axis=1)
+        s = d.std(axis=1, keepdims=True)
+        return np.divide(d, s, out=d, where=s > 0)
+
+    a, b = whiten(a), whiten(b)
+    size = 1 << (a.shape[1] + b.shape[1] - 1).bit_length()
+    lags = np.arange(-min(reach, a.shape[1] - 1), min(reach, b.shape[1] - 1) + 1)
+    c = np.fft.irfft(np.fft.rfft(b, size) * np.conj(np.fft.rfft(a, size)), size)[:, lags]    # negative lags wrap
+    at = c.argmax(axis=1)
+    return lags[at], c[np.arange(len(c)), at] / (np.median(np.abs(c), axis=1) + 1e-9)
+
+
 def lag_of(rate: int, max_lag_s: float = 1.5):
-    """Arrow UDF: lag in seconds of the cross-correlation peak of two signals, and its prominence."""
+    """Arrow UDF: lag in seconds of the cross-correlation peak of two signals, and its prominence.
+
+    Signals are differenced and scaled to unit deviation; a positive lag says that the second one hears it later.
+    Pairs of equal lengths are transformed together.  A pair with a null signal, a null or non-finite sample or
+    fewer than two samples has nulls.
+    """
     out = T.StructType([T.StructField("lag_s", T.DoubleType()), T.StructField("peak", T.DoubleType())])
 
-    def whiten(x):
-        d = np.diff(np.asarray(x, dtype=float))
-        s = d.std()
-        return d / s if s > 0 else d
-
-    def one(x, y):
-        a, b = whiten(x), whiten(y)
-        size = 1 << (len(a) + len(b) - 1).bit_length()
-        c = np.fft.irfft(np.fft.rfft(b, size) * np.conj(np.fft.rfft(a, size)), size)
-        lags = np.arange(-len(a) + 1, len(b))
-        c = c[lags]                      # negative lags wrap to the end
-        near = np.abs(lags) <= int(max_lag_s * rate)
-        c, lags = c[near], lags[near]
-        i = int(np.argmax(c))
-        return lags[i] / rate, float(c[i] / (np.median(np.abs(c)) + 1e-9))
+    def usable(x):
+        return x is not None and len(x) > 1 and np.isfinite(np.asarray(x, dtype=float)).all()
 
     @F.pandas_udf(out)
     def run(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for a, b in it:
-            yield pd.DataFrame([one(x, y) for x, y in zip(a, b)], columns=["lag_s", "peak"])
+            found = np.full((len(a), 2), np.nan)
+            alike: dict[tuple[int, int], list[int]] = {}
+            for i, (x, y) in enumerate(zip(a, b)):
+                if usable(x) and usable(y):
+                    alike.setdefault((len(x), len(y)), []).append(i)
+            for (n, m), rows in alike.items():
+                step = max(1, BLOCK // (n + m))
+                for k in range(0, len(rows), step):
+                    at = rows[k:k + step]
+                    lag, peak = _lags(np.stack([a.iloc[i] for i in at]).astype(float),
+                                      np.stack([b.iloc[i] for i in at]).astype(float), int(max_lag_s * rate))
+                    found[at, 0], found[at, 1] = lag / rate, peak
+            yield pd.DataFrame(found, columns=["lag_s", "peak"]).astype(object).where(np.isfinite(found), None) \
+                .astype({"lag_s": "Float64", "peak": "Float64"})
     return run
 
 
+def camera_pairs(waves: DataFrame, clip: Sequence[str], angle: str, wave: str, first: str, second: str) -> DataFrame:
+    """Waveforms of two cameras side by side, for the clips that both have heard: clip, a, b.
+
+    One aggregate by clip; a clip's waveform is the longest of several of one camera.
+    """
+    def of(side):
+        return F.max_by(F.when(F.col(angle) == side, F.col(wave)), F.when(F.col(angle) == side, F.size(wave)))
+    g = waves.filter(F.col(angle).isin(first, second)).groupBy(*clip).agg(of(first).alias("a"), of(second).alias("b"))
+    return g.filter("a IS NOT NULL AND b IS NOT NULL")
+
+
 def true_offset(pairs: DataFrame, keys: Sequence[str], a: str, b: str, rate: int, baked: float = 0.0,
                 min_peak: float = 8.0, tolerance: float = 1.0, fps: float = K.FPS) -> DataFrame:
     """Camera offset in frames per key: densest cluster of prominent lags, plus the baked offset."""

@@ -307,10 +307,51 @@ def _(s, d):
     return X.overlaps(b.filter("cls = 'target'"), b.filter("cls = 'reference'"), ["img"])
 
 
-@query("detector_scores")
-def _(s, d):
-    """Greedy one-to-one box matching, then recall and precision per class."""
+MATCH_CTE = f"""RECURSIVE {BOX_CTE.strip()},
+kx AS (SELECT *, CASE WHEN box_id % 2 = 0 THEN 'ball' ELSE 'hoop' END AS kind FROM bx),
+ov AS (SELECT a.img, a.kind, a.box_id AS truth_id, b.box_id AS pred_id,
+ greatest(0, least(a.x2,b.x2)-greatest(a.x1,b.x1))*greatest(0, least(a.y2,b.y2)-greatest(a.y1,b.y1)) AS i,
+ (a.x2-a.x1)*(a.y2-a.y1)+(b.x2-b.x1)*(b.y2-b.y1) AS u FROM kx a JOIN kx b ON a.img = b.img AND a.kind = b.kind
+ AND a.cls='target' AND b.cls='reference'),
+op AS MATERIALIZED (SELECT img, kind, truth_id, pred_id, i/(u-i) AS iou, row_number() OVER (PARTITION BY img, kind
+ ORDER BY truth_id, pred_id) AS k FROM ov WHERE i/(u-i) >= 0.3),
+fold AS (SELECT img, kind, truth_id, pred_id, iou, k, true AS taken, truth_id AS last, [pred_id] AS used FROM op WHERE k = 1
+ UNION ALL SELECT op.img, op.kind, op.truth_id, op.pred_id, op.iou, op.k, op.truth_id <> last AND NOT list_contains(used, op.pred_id),
+  CASE WHEN op.truth_id <> last AND NOT list_contains(used, op.pred_id) THEN op.truth_id ELSE last END,
+  CASE WHEN op.truth_id <> last AND NOT list_contains(used, op.pred_id) THEN list_append(used, op.pred_id) ELSE used END
+ FROM fold JOIN op ON op.img = fold.img AND op.kind = fold.kind AND op.k = fold.k + 1),
+mt AS (SELECT img, kind, truth_id, pred_id, iou FROM fold WHERE taken)"""
+
+
+def kind_boxes(s, d):
+    """True and predicted boxes of two classes, and their one-to-one matches."""
     b = det_boxes(s, d).withColumn("kind", F.when(F.col("box_id") % 2 == 0, "ball").otherwise("hoop"))
     t, p = b.filter("cls = 'target'"), b.filter("cls = 'reference'")
-    m = X.match_boxes(X.overlaps(t, p, ["img", "kind"]), ["img", "kind"])
-    return X.detector_scores(t, p, m, "kind")
+    return t, p, X.match_boxes(X.overlaps(t, p, ["img", "kind"]), ["img", "kind"])
+
+
+@query("box_matches", f"WITH {MATCH_CTE} SELECT * FROM mt", {6: "iou"})
+def _(s, d):
+    return kind_boxes(s, d)[2]
+
+
+@query("detector_scores", f"""WITH {MATCH_CTE},
+n AS (SELECT kind, count(*) FILTER (WHERE cls='target') AS n_truth, count(*) FILTER (WHERE cls='reference') AS n_pred FROM kx GROUP BY kind),
+m AS (SELECT kind, count(*) AS tp FROM mt GROUP BY kind)
+SELECT kind, n_truth, n_pred, coalesce(tp, 0) AS tp, CASE WHEN n_truth > 0 THEN CAST(coalesce(tp, 0) AS DOUBLE)/n_truth ELSE 0 END AS recall,
+ CASE WHEN n_pred > 0 THEN CAST(coalesce(tp, 0) AS DOUBLE)/n_pred ELSE 0 END AS precision FROM n LEFT JOIN m USING (kind)""",
+       {6: "recall precision"})
+def _(s, d):
+    """Greedy one-to-one box matching, then recall and precision per class."""
+    return X.detector_scores(*kind_boxes(s, d), "kind")
+
+
+@query("detector_moment_recall", f"""WITH {MATCH_CTE},
+g AS (SELECT DISTINCT img, kind FROM kx WHERE cls='target' AND img % 3 = 0),
+h AS (SELECT DISTINCT img, kind, 1 AS hit FROM mt)
+SELECT kind, count(*) AS n_images, count(hit) AS n_found, CAST(count(hit) AS DOUBLE)/count(*) AS recall
+FROM g LEFT JOIN h USING (img, kind) GROUP BY kind""", {6: "recall"})
+def _(s, d):
+    """Share of the images taken at a rim moment (every third one) in which a box of the class is found."""
+    t, _, m = kind_boxes(s, d)
+    return X.moment_recall(t.withColumn("moment", F.col("img") % 3 == 0), m, ["img"], "moment", "kind")
