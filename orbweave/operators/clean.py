@@ -12,7 +12,7 @@ from orbweave.functions import boxes as B, ordered
 from orbweave.functions.lineage import cut
 from orbweave.functions.skew import attach, grouped
 from orbweave.operators import sequence as S, tracks as T
-from orbweave.operators.evaluate import count_if
+from orbweave.operators.evaluate import best_single_auc, count_if
 
 PART, HALO = 2048, 256     # frames per task group; the filter forgets within a few dozen frames
 
@@ -118,6 +118,17 @@ def clean_features(tracks: DataFrame, keys: Sequence[str] = T.TRACK) -> DataFram
     return out.withColumn("jitter_reduction", F.col("jitter_raw") - F.col("jitter_clean"))
 
 
+def cleaning_auc(features: DataFrame, label: str = "label") -> DataFrame:
+    """The arc column that separates the label best alone, raw and cleaned, one row: raw_feature, raw_auc,
+    cleaned_feature, cleaned_auc, improved."""
+    arcs = [c for c in features.columns if c.startswith("arc_")]
+    cleaned = [c for c in features.columns if c.startswith("cln_arc_")]
+    best = best_single_auc(features, {"raw": arcs, "cleaned": cleaned}, label)
+    return best.agg(*[F.max(F.when(F.col("family") == f, F.col(c))).alias(f"{f}_{c}")
+                      for f in ("raw", "cleaned") for c in ("feature", "auc")]).withColumn(
+        "improved", F.col("cleaned_auc") > F.col("raw_auc"))
+
+
 def cleaning_summary(clean: DataFrame) -> DataFrame:
     """Mean jitter raw and cleaned and the relative reduction, one row."""
     g = clean.agg(F.avg("jitter_raw").alias("jitter_raw"), F.avg("jitter_clean").alias("jitter_clean"))

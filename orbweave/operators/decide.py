@@ -66,6 +66,18 @@ def three_way_vote(tri, far, near) -> list[Column]:
     return [v.alias("final"), r.alias("reason")]
 
 
+def revote_changes(rows: DataFrame, keep: Sequence[str], cls: str, before: str, tri: str, far: str, near: str) -> DataFrame:
+    """Rows whose outcome a new three-way vote on the cached signals changes.
+
+    ``before`` holds the outcome (TP, TN, FP, FN or UND) of the last run; returns ``keep``, old_cat, new_cat, the new
+    verdict and its reason.
+    """
+    # a generated row is computed once, however often the outcome and the filter name its columns
+    voted = rows.select("*", F.inline(F.array(F.struct(*three_way_vote(tri, far, near)))))
+    return voted.select(*keep, F.col(before).alias("old_cat"), L.outcome(cls, "final").alias("new_cat"), "final", "reason") \
+        .filter(~F.col("old_cat").eqNullSafe(F.col("new_cat")))
+
+
 def tiered_merge(first: DataFrame, key: str, rerun: DataFrame, cameras: DataFrame,
                  hires: DataFrame, attempts: DataFrame) -> DataFrame:
     """Layered merge with a label of the layer that decided.

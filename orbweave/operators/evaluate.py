@@ -235,6 +235,41 @@ def flips(df: DataFrame, old: str, new: str) -> DataFrame:
     return n.select("old_cat", "new_cat", kind.alias("kind"), "n")
 
 
+def verdict_types(df: DataFrame, verdict: str = "verdict", cat: str = "cat", of: str = "FN") -> DataFrame:
+    """How often each kind of verdict occurs among the rows of one outcome.
+
+    The kind is what follows the first bracket, up to a colon; a text without a bracket is a kind of its own.
+    """
+    v = F.col(verdict)
+    head = F.split_part(v, F.lit(":"), F.lit(1))
+    kind = F.when(head.contains("("), F.split_part(head, F.lit("("), F.lit(2))).when(v.contains("("), head).otherwise(v)
+    return df.filter(F.col(cat) == of).groupBy(F.trim(kind).alias("verdict_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def best_single_auc(df: DataFrame, families: dict[str, Sequence[str]], label: str = "label") -> DataFrame:
+    """Per family of columns the one that separates the label best alone: family, feature, auc.
+
+    An AUC below one half counts from the other side; missing values take the column's median; constant and empty
+    columns are left out, ties go to the first column, and a family without a useful column has no feature and 0.5.
+    All columns of all families are ranked together, as one table of (feature, value).
+    """
+    cols = list(dict.fromkeys(c for f in families.values() for c in f))
+    long = df.select(label, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([label], cols, "feature", "value")
+    varied = long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")).filter("_lo < _hi")
+    usual = medians(long, ["feature"], ["value"]).withColumnRenamed("value", "_mid")
+    fill = F.broadcast(varied.join(usual, "feature").select("feature", "_mid"))          # one row per column
+    r = long.join(fill, "feature").withColumn("value", F.coalesce("value", "_mid"))
+    found = auc(r, ["feature"], "value", label).withColumn("auc", F.greatest(F.col("auc"), 1 - F.col("auc")))
+    spark = df.sparkSession
+    order = spark.createDataFrame([(f, c, i) for f, cs in families.items() for i, c in enumerate(cs)] or [],
+                                  "family string, feature string, _at int")
+    names = spark.createDataFrame([(f,) for f in families], "family string")
+    best = order.join(found.filter("auc > 0.5"), "feature").groupBy("family").agg(
+        F.min_by(F.struct("feature", "auc"), F.struct(-F.col("auc"), "_at")).alias("b"))
+    return names.join(best, "family", "left").select("family", F.col("b.feature").alias("feature"),
+                                                     F.coalesce("b.auc", F.lit(0.5)).alias("auc"))
+
+
 def quantile_compare(df: DataFrame, groups: Sequence[str], cols: Sequence[str],
                      probs: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
     """p10/p50/p90 and share above zero per population; negative means missing."""

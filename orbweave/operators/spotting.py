@@ -10,6 +10,21 @@ from orbweave.operators.evaluate import count_if, ratio
 from orbweave.operators.temporal import windows_hit
 
 
+# --- fixed value: minutes of a recording whose end is not known ---
+OPEN_MINUTES = 20.0
+
+
+def false_rate(scores: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``scores`` with ``false_pm``: false events per minute of the key's recording.
+
+    ``spans``: keys, minutes - one row per recording.  Recordings under a minute count as one minute, those without a
+    known length as 20 minutes.
+    """
+    minutes = F.greatest(F.coalesce("minutes", F.lit(OPEN_MINUTES)), F.lit(1.0))
+    return scores.join(spans.select(*keys, "minutes"), list(keys), "left").withColumn(
+        "false_pm", F.col("n_false") / minutes).drop("minutes")
+
+
 def spot_scores(events: DataFrame, windows: DataFrame, keys: Sequence[str], t: str, lo: str,
                 hi: str, bucket) -> DataFrame:
     """Recall of windows, precision of events and the number of false events per key.
@@ -36,9 +51,11 @@ def _options(df: DataFrame, name: str, values, kind: str) -> DataFrame:
 
 
 def config_sweep(balls: DataFrame, windows: DataFrame, keys: Sequence[str], bucket, width: float,
-                 grid: dict = SWEEP) -> DataFrame:
+                 grid: dict = SWEEP, spans: DataFrame | None = None) -> DataFrame:
     """Recall, precision and false events of every spotter configuration, averaged over keys.
 
+    With ``spans`` (keys, minutes) also ``false_pm``, the false events per minute.
+
     ``balls``: keys, step (frame number), t, need (zone height that just contains the ball), dist, y;
     ``windows``: keys, lo, hi.  Stride and zone change the hits; the other three settings are
     applied to the finished events, so rows are multiplied by 9 and only events by 12.
@@ -64,12 +81,18 @@ def config_sweep(balls: DataFrame, windows: DataFrame, keys: Sequence[str], buck
     ev, w = ev.fillna(-1.0, ["reach"]), w.fillna(-1.0, ["reach"])
     s = spot_scores(ev.select(*keys, *cfg, "event_t"), w, [*keys, *cfg], "event_t", "lo", "hi", bucket)
     labelled = F.col("n_gt") > 0                  # rates are averaged over the keys that have windows
-    return s.groupBy(*cfg).agg(F.avg(F.when(labelled, F.col("recall"))).alias("recall"),
-                               F.avg(F.when(labelled, F.col("precision"))).alias("precision"),
+    rates = ["recall", "precision"]
+    if spans is not None:
+        s, rates = false_rate(s, spans, keys), [*rates, "false_pm"]
+    return s.groupBy(*cfg).agg(*[F.avg(F.when(labelled, F.col(c))).alias(c) for c in rates],
                                F.sum("n_false").alias("n_false"), F.sum("n_ev").alias("n_ev"))
 
 
 def rank_configs(sweep: DataFrame, top: int = 12) -> DataFrame:
-    """Best configurations: recall, then precision, then fewest false events."""
-    return sweep.orderBy(F.col("recall").desc(), F.col("precision").desc(), "n_false", "stride", "zone",
+    """Best configurations: recall, then precision, then fewest false events (per minute, where that is known).
+
+    Rates are compared to nine decimals, so that the order of summation decides nothing.
+    """
+    false = F.round("false_pm", 9) if "false_pm" in sweep.columns else F.col("n_false")
+    return sweep.orderBy(F.round("recall", 9).desc(), F.round("precision", 9).desc(), false, "stride", "zone",
                          "min_hits", "reach", "downward").limit(top)

@@ -82,6 +82,24 @@ def compare_tables(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequen
         .select("r.*")
 
 
+def balance(records: DataFrame, game: str = "game_id", label: str = "label", usable: str = "usable") -> DataFrame:
+    """Class and game balance: records, usable and unusable ones, usable makes and misses per game and in all.
+
+    A null ``usable`` is not usable.  ``n_games`` counts the games with a usable record, the folds of a
+    leave-one-game-out run; it is 0 or 1 for a game.
+    """
+    ok = F.coalesce(F.col(usable), F.lit(False))
+
+    def n(cond):
+        return F.count(F.when(cond, 1))
+    g = records.withColumn("_g", F.col(game)).rollup("_g").agg(
+        F.count(F.lit(1)).alias("n"), n(ok).alias("usable"), n(~ok).alias("unusable"),
+        n(ok & (F.col(label) == 1)).alias("makes"), n(ok & (F.col(label) == 0)).alias("misses"),
+        F.count_distinct(F.when(ok, F.col(game))).alias("n_games"), F.grouping("_g").alias("_all"))
+    return g.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col("_g").cast("string")).alias("game"),
+                    "n", "usable", "unusable", "makes", "misses", "n_games")
+
+
 def complete_games(plays: DataFrame, cameras: DataFrame, game: str, angle: str,
                    min_shots: int = 60, need: int = 4) -> DataFrame:
     """Games with enough labelled shots that also have all cameras."""

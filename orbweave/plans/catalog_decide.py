@@ -202,6 +202,25 @@ def _(s, d):
     return E.tally(paired(s, d))
 
 
+@query("revote_changes", f"""WITH {VOTE_CTE},
+c AS (SELECT name_id, gt, fr, nr, {cat_sql('gt', 'v2')} AS old_cat, {cat_sql('gt', 'final')} AS new_cat, final, reason FROM vote)
+SELECT * FROM c WHERE old_cat IS DISTINCT FROM new_cat""")
+def _(s, d):
+    """Throws whose outcome the vote changes against the second system's."""
+    v = verdicts(s, d).withColumn("before", L.outcome("gt", "v2"))
+    return D.revote_changes(v, ["name_id", "gt", "fr", "nr"], "gt", "before", "v1", "fr", "nr")
+
+
+@query("verdict_types", f"""WITH {VERDICTS_CTE},
+c AS (SELECT v1, split_part(v1, ':', 1) AS head FROM verdicts WHERE {cat_sql('gt', 'v1')} = 'FN')
+SELECT trim(CASE WHEN contains(head, '(') THEN split_part(head, '(', 2) WHEN contains(v1, '(') THEN head ELSE v1 END) AS verdict_type,
+ count(*) AS n FROM c GROUP BY 1""")
+def _(s, d):
+    """What the verdicts of missed makes say, counted."""
+    v = verdicts(s, d).withColumn("cat", L.outcome("gt", "v1"))
+    return E.verdict_types(v, "v1", "cat", "FN")
+
+
 @query("outcome_flips", f"""WITH {VOTE_CTE},
 c AS (SELECT {cat_sql('gt', 'v1')} AS old_cat, {cat_sql('gt', 'final')} AS new_cat FROM vote)
 SELECT old_cat, new_cat, CASE WHEN old_cat IN ('FP','FN','UND') AND new_cat IN ('TP','TN')

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orbweave.functions import ordered
 from orbweave.functions import fixed as K
 from orbweave.operators import boost, evaluate as E, learn as Y, shotmodel, signal as G, spotting as P, stack, trajectory as H
+from orbweave.operators.tables import balance, feature_buckets, numeric_features
 from orbweave.plans.catalog_decide import predicted, split_by_game
 from orbweave.plans.inputs import SAMPLES_CTE, SCORED_CTE, samples, scored
 from orbweave.plans.registry import query, table
@@ -192,6 +193,32 @@ def _(s, d):
     return shotmodel.held_out_games(shot_rows(s, d))
 
 
+@query("balance_counts", f"""WITH {SCORED_CTE}
+SELECT CASE WHEN grouping(game_id) = 1 THEN 'ALL' ELSE game_id END AS game, count(*) AS n, count(*) FILTER (WHERE n_chars >= 200) AS usable,
+ count(*) FILTER (WHERE coalesce(n_chars < 200, true)) AS unusable, count(*) FILTER (WHERE n_chars >= 200 AND label = 1) AS makes,
+ count(*) FILTER (WHERE n_chars >= 200 AND label = 0) AS misses, count(DISTINCT game_id) FILTER (WHERE n_chars >= 200) AS n_games
+FROM scored GROUP BY ROLLUP (game_id)""")
+def _(s, d):
+    """Usable and unusable records per game; records of 200 characters and more are usable."""
+    return balance(scored(s, d).withColumn("usable", F.col("n_chars") >= 200))
+
+
+@query("best_single_auc", f"""WITH {SCORED_CTE},
+u AS (SELECT label, unnest(['scores','scores','size','size']) AS family, unnest(['prob','prob2','n_chars','half']) AS feature,
+ unnest([0, 1, 0, 1]) AS pos, unnest([CASE WHEN doc_id % 7 = 0 THEN NULL ELSE prob END, prob2, CAST(n_chars AS DOUBLE), 0.5]) AS v FROM scored),
+m AS (SELECT feature, median(v) AS mid FROM u GROUP BY feature HAVING min(v) < max(v)),
+f AS (SELECT family, feature, pos, label, coalesce(v, mid) AS v FROM u JOIN m USING (feature)),
+k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0::DOUBLE AS rk FROM f),
+a AS (SELECT family, feature, pos, (sum(rk) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0::DOUBLE)
+ / (count(*) FILTER (WHERE label = 1) * CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE)) AS auc FROM k GROUP BY ALL)
+SELECT family, feature, greatest(auc, 1 - auc) AS auc FROM a
+QUALIFY row_number() OVER (PARTITION BY family ORDER BY greatest(auc, 1 - auc) DESC, pos) = 1""", {6: "auc"})
+def _(s, d):
+    """Which score and which size separates the labels best alone; a score is missing now and then."""
+    r = scored(s, d).withColumn("prob", F.when(F.col("doc_id") % 7 != 0, F.col("prob"))).withColumn("half", F.lit(0.5))
+    return E.best_single_auc(r, {"scores": ["prob", "prob2"], "size": ["n_chars", "half"]})
+
+
 @query("logo_summary")
 def _(s, d):
     """Weighted leave-one-game-out means and games meeting all targets."""
@@ -206,8 +233,10 @@ def _(s, d):
 
 @query("ablation")
 def _(s, d):
-    """Test metrics with each feature bucket left out."""
-    return Y.ablation(model_rows(s, d), {"scores": ["prob", "prob2"], "size": ["n_chars"]})
+    """Test metrics with each feature bucket left out; buckets are found by the columns' names."""
+    r = model_rows(s, d)
+    buckets = feature_buckets(numeric_features(r, ["doc_id", "label", "toxic"]), {"scores": ["prob"], "size": ["n_"]})
+    return Y.ablation(r, {b: cols for b, cols in buckets.items() if cols})
 
 
 @query("permutation_importance")

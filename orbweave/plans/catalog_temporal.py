@@ -510,25 +510,48 @@ eh AS (SELECT e1.user_id, e1.stride, e1.zone, e1.min_hits, e1.reach, e1.downward
 """
 
 
-@query("spotter_sweep", f"""WITH {SWEEP_SQL}
-SELECT stride, zone, min_hits, reach, downward, avg(CAST(hit AS DOUBLE)/n_gt) AS recall,
- avg(CASE WHEN n_gt > 0 THEN CASE WHEN n_ev > 0 THEN CAST(ok AS DOUBLE)/n_ev ELSE 0 END END) AS precision,
+RATE_SQL = """SELECT stride, zone, min_hits, reach, downward, avg(CAST(hit AS DOUBLE)/n_gt) AS recall,
+ avg(CASE WHEN n_gt > 0 THEN CASE WHEN n_ev > 0 THEN CAST(ok AS DOUBLE)/n_ev ELSE 0 END END) AS precision,{more}
  CAST(sum(coalesce(n_ev-ok,0)) AS BIGINT) AS n_false, CAST(sum(coalesce(n_ev,0)) AS BIGINT) AS n_ev
-FROM wh FULL JOIN eh USING (user_id, stride, zone, min_hits, reach, downward) GROUP BY ALL""",
-       {6: "recall precision"})
-def _(s, d):
+FROM wh FULL JOIN eh USING (user_id, stride, zone, min_hits, reach, downward)"""
+FALSE_PM_SQL = f"""WITH {SWEEP_SQL}, span AS (SELECT user_id, greatest(CAST(max(t) - min(t) AS DOUBLE) / 60, 1) AS minutes FROM ev GROUP BY 1),
+sw AS ({RATE_SQL.format(more=" avg(CASE WHEN n_gt > 0 THEN coalesce(n_ev-ok,0)/minutes END) AS false_pm,")}
+ JOIN span USING (user_id) GROUP BY ALL) SELECT * FROM sw"""
+CONFIG_ORDER = "stride, zone, min_hits, reach, downward LIMIT 12"
+
+
+def swept(s, d, rate=False):
+    """Scores of all spotter configurations over the event table; with ``rate`` also false events per minute."""
     from orbweave.operators.spotting import SWEEP, config_sweep
     e = ev(s, d).filter("event_type <> 'purchase'")
     balls = e.select("user_id", F.col("event_id").alias("step"), "t", (F.col("value") / 40).alias("need"),
                      F.col("value").alias("dist"), ((F.col("event_id") * 31) % 101).alias("y"))
-    return config_sweep(balls, wins(s, d), ["user_id"], day, 40.0, {**SWEEP, "gap": (7200,)})
+    spans = ev(s, d).groupBy("user_id").agg(((F.max("t") - F.min("t")) / 60).alias("minutes")) if rate else None
+    return config_sweep(balls, wins(s, d), ["user_id"], day, 40.0, {**SWEEP, "gap": (7200,)}, spans)
+
+
+@query("spotter_sweep", f"WITH {SWEEP_SQL} {RATE_SQL.format(more='')} GROUP BY ALL", {6: "recall precision"})
+def _(s, d):
+    return swept(s, d)
+
 
+@query("spotter_false_rate", FALSE_PM_SQL, {6: "recall precision false_pm"})
+def _(s, d):
+    """All spotter configurations with their false events per minute."""
+    return swept(s, d, rate=True)
+
+
+@query("spotter_rate_top", f"""SELECT * FROM ({FALSE_PM_SQL})
+ORDER BY round(recall, 9) DESC, round(precision, 9) DESC, round(false_pm, 9), {CONFIG_ORDER}""", {6: "recall precision false_pm"})
+def _(s, d):
+    """The twelve best spotter configurations, ranked down to their false events per minute."""
+    from orbweave.operators.spotting import rank_configs
+    return rank_configs(swept(s, d, rate=True))
 
-@query("spotter_sweep_top")
+
+@query("spotter_sweep_top", f"""SELECT * FROM (WITH {SWEEP_SQL} {RATE_SQL.format(more='')} GROUP BY ALL)
+ORDER BY round(recall, 9) DESC, round(precision, 9) DESC, n_false, {CONFIG_ORDER}""", {6: "recall precision"})
 def _(s, d):
     """The twelve best spotter configurations."""
-    from orbweave.operators.spotting import SWEEP, config_sweep, rank_configs
-    e = ev(s, d).filter("event_type <> 'purchase'")
-    balls = e.select("user_id", F.col("event_id").alias("step"), "t", (F.col("value") / 40).alias("need"),
-                     F.col("value").alias("dist"), ((F.col("event_id") * 31) % 101).alias("y"))
-    return rank_configs(config_sweep(balls, wins(s, d), ["user_id"], day, 40.0, {**SWEEP, "gap": (7200,)}))
+    from orbweave.operators.spotting import rank_configs
+    return rank_configs(swept(s, d))

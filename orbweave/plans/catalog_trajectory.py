@@ -350,6 +350,17 @@ def _(s, d):
     return C.cleaning_summary(C.clean_features(tracks(s, d)))
 
 
+@query("cleaning_auc")
+def _(s, d):
+    """Best arc column alone, from raw and from cleaned tracks, and whether cleaning separates better."""
+    t = tracks(s, d)
+    raw = T.angle_features(t)
+    r = raw.join(C.clean_features(t), list(T.TRACK), "left").join(
+        t.groupBy(*T.TRACK).agg(F.first("classification").alias("_c")), list(T.TRACK)).withColumn(
+        "label", F.col("_c").endswith("_MAKE").cast("int"))
+    return C.cleaning_auc(r)
+
+
 @query("data_health")
 def _(s, d):
     """Track quality per game and camera against the corpus."""

@@ -87,9 +87,9 @@ def read_windows(spark: SparkSession, path: str, game: str | None = None) -> Dat
 
 def shot_windows(rows: DataFrame, classes: Sequence[str] | None = None, cls: str = "classification",
                  start: str = "start_timestamp", end: str = "end_timestamp") -> DataFrame:
-    """Rows of shot classes with both timestamps."""
+    """Rows of shot classes with both timestamps, in the order of their start."""
     classes = classes or (*K.MAKE_CLASSES, *K.MISS_CLASSES)
-    return rows.filter(F.col(cls).isin(*classes) & F.col(start).isNotNull() & F.col(end).isNotNull())
+    return rows.filter(F.col(cls).isin(*classes) & F.col(start).isNotNull() & F.col(end).isNotNull()).orderBy(start)
 
 
 def clean_nan(df: DataFrame) -> DataFrame:
