@@ -14,28 +14,41 @@ from orbweave.functions.skew import attach, grouped
 from orbweave.operators import sequence as S, tracks as T
 from orbweave.operators.evaluate import best_single_auc, count_if
 
-PART, HALO = 2048, 256     # frames per task group; the filter forgets within a few dozen frames
+PART, BLOCK = 2048, 2048   # frames per part, parts per block
+HALO = 256                 # frames of overlap of the gated smoother, whose gates depend on the state
 
 # --- fixed values: smoother noise (pixels, pixels per frame squared) ---------------
 MEASURE_SD, ACCEL_SD, START_VAR = 6.0, (1.5, 4.0), 1e3
 
 
-def _smooth_axes(z: np.ndarray) -> np.ndarray:
+STEP = np.array([[1.0, 1.0, 0.5], [0.0, 1.0, 1.0], [0.0, 0.0, 1.0]])
+NOISE = np.array([sd ** 2 for sd in ACCEL_SD])[:, None, None] * np.outer([0.5, 1.0, 1.0], [0.5, 1.0, 1.0])
+
+
+def _start(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State before a track's first frame: at its first detection, at rest."""
+    mean = np.zeros((2, 3))
+    mean[:, 0] = first
+    return mean, np.repeat((np.eye(3) * START_VAR)[None], 2, 0)
+
+
+def _informed(mean, cov, eta, info):
+    """The state after adding what later detections say about it."""
+    solve = np.linalg.inv(np.eye(3) + cov @ info)
+    return np.einsum("aij,aj->ai", solve, mean + np.einsum("aij,aj->ai", cov, eta)), solve @ cov
+
+
+def _smooth_axes(z: np.ndarray, mean: np.ndarray, cov: np.ndarray, later=None) -> np.ndarray:
     """Constant-acceleration forward filter and backward smoother; z is (n, 2) with NaN gaps.
 
-    Both axes run as one batch of 3-state systems.
+    Both axes run as one batch of 3-state systems, from the state before the first row; ``later`` is what detections
+    behind the last row say about the last state.
     """
     n, seen = len(z), ~np.isnan(z[:, 0])
-    step = np.array([[1.0, 1.0, 0.5], [0.0, 1.0, 1.0], [0.0, 0.0, 1.0]])
-    gain = np.array([0.5, 1.0, 1.0])
-    noise = np.array([sd ** 2 for sd in ACCEL_SD])[:, None, None] * np.outer(gain, gain)
-    mean = np.zeros((2, 3))
-    mean[:, 0] = z[seen][0]
-    cov = np.repeat((np.eye(3) * START_VAR)[None], 2, 0)
     pred_m, pred_c = np.empty((n, 2, 3)), np.empty((n, 2, 3, 3))
     post_m, post_c = np.empty((n, 2, 3)), np.empty((n, 2, 3, 3))
     for k in range(n):
-        mean, cov = mean @ step.T, step @ cov @ step.T + noise
+        mean, cov = mean @ STEP.T, STEP @ cov @ STEP.T + NOISE
         pred_m[k], pred_c[k] = mean, cov
         if seen[k]:
             w = cov[:, :, 0] / (cov[:, 0, 0] + MEASURE_SD ** 2)[:, None]
@@ -43,12 +56,149 @@ def _smooth_axes(z: np.ndarray) -> np.ndarray:
             cov = cov - w[:, :, None] * cov[:, None, 0, :]
         post_m[k], post_c[k] = mean, cov
     out = post_m.copy()
+    if later is not None:
+        out[-1] = _informed(post_m[-1], post_c[-1], *later)[0]
     for k in range(n - 2, -1, -1):
-        back = post_c[k] @ step.T @ np.linalg.inv(pred_c[k + 1])
+        back = post_c[k] @ STEP.T @ np.linalg.inv(pred_c[k + 1])
         out[k] = post_m[k] + np.einsum("aij,aj->ai", back, out[k + 1] - pred_m[k + 1])
     return out[:, :, 0]
 
 
+# A run of frames as one affine-Gaussian element: the last state is turn @ (state before) + shift, with covariance
+# spread; the run's detections say eta, info about the state before.  Elements of neighbouring runs are joined.
+
+def _element(z: np.ndarray) -> tuple[np.ndarray, ...]:
+    turn, shift, spread = np.repeat(np.eye(3)[None], 2, 0), np.zeros((2, 3)), np.zeros((2, 3, 3))
+    eta, info = np.zeros((2, 3)), np.zeros((2, 3, 3))
+    for row in z:
+        turn, shift, spread = STEP @ turn, shift @ STEP.T, STEP @ spread @ STEP.T + NOISE
+        if not np.isnan(row[0]):
+            var, see, miss = spread[:, 0, 0] + MEASURE_SD ** 2, turn[:, 0, :], row - shift[:, 0]
+            eta = eta + see * (miss / var)[:, None]
+            info = info + see[:, :, None] * see[:, None, :] / var[:, None, None]
+            w = spread[:, :, 0] / var[:, None]
+            turn, shift = turn - w[:, :, None] * see[:, None, :], shift + w * miss[:, None]
+            spread = spread - w[:, :, None] * spread[:, None, 0, :]
+    return turn, shift, spread, eta, info
+
+
+def _after(state, e):
+    """Mean and covariance behind a run, from those before it."""
+    mean, cov = _informed(*state, e[3], e[4])
+    return np.einsum("aij,aj->ai", e[0], mean) + e[1], e[0] @ cov @ e[0].swapaxes(1, 2) + e[2]
+
+
+def _before(e, later):
+    """What a run and all behind it say about the state before the run."""
+    eta, info = later
+    back = e[0].swapaxes(1, 2) @ np.linalg.inv(np.eye(3) + info @ e[2])
+    return (np.einsum("aij,aj->ai", back, eta - np.einsum("aij,aj->ai", info, e[1])) + e[3], back @ info @ e[0] + e[4])
+
+
+def _joined(a, b):
+    """The element of two neighbouring runs."""
+    solve = b[0] @ np.linalg.inv(np.eye(3) + a[2] @ b[4])
+    return (solve @ a[0], np.einsum("aij,aj->ai", solve, a[1] + np.einsum("aij,aj->ai", a[2], b[3])) + b[1],
+            solve @ a[2] @ b[0].swapaxes(1, 2) + b[2], *_before(a, (b[3], b[4])))
+
+
+def _packed(parts) -> list[float]:
+    return np.concatenate([np.ravel(p) for p in parts]).tolist()
+
+
+def _unpacked(values, shapes) -> list[np.ndarray]:
+    x, out = np.asarray(values, dtype=float), []
+    for shape in shapes:
+        n = int(np.prod(shape))
+        out.append(x[:n].reshape(shape))
+        x = x[n:]
+    return out
+
+
+_V, _M = (2, 3), (2, 3, 3)
+ELEMENT, ENTRY = (_M, _V, _M, _V, _M), (_V, _M, _V, _M)
+
+
+def _rows_of(t: pa.Table, keys: Sequence[str], **cols) -> pa.Table:
+    """Key columns of the table's first rows, as many as there are values, with typed columns."""
+    n = len(next(iter(cols.values())))
+    kinds = {"first": pa.list_(pa.float64()), "element": pa.list_(pa.float64()), "entry": pa.list_(pa.float64())}
+    return pa.table({**{k: t[k][:n] for k in keys}, **{c: pa.array(v, kinds.get(c)) for c, v in cols.items()}})
+
+
+def _element_rows(keys):
+    def run(t: pa.Table) -> pa.Table:
+        z = _positions(t.sort_by("frame_idx"))
+        seen = z[~np.isnan(z[:, 0])]
+        return _rows_of(t, [*keys, "_part"], first=[seen[0].tolist() if len(seen) else None], element=[_packed(_element(z))])
+    return run
+
+
+def _joined_rows(keys):
+    """One element for all parts of a block."""
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_part")
+        total = None
+        for v in t["element"].to_pylist():
+            e = _unpacked(v, ELEMENT)
+            total = e if total is None else _joined(total, e)
+        first = next((v for v in t["first"].to_pylist() if v is not None), None)
+        return _rows_of(t, [*keys, "_block"], first=[first], element=[_packed(total)])
+    return run
+
+
+def _entry_rows(keys, at):
+    """For every run the state before it and what all behind it say; ``entry`` of the whole stretch, if it has one."""
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(at)
+        elements = [_unpacked(v, ELEMENT) for v in t["element"].to_pylist()]
+        whole = t["entry"][0].as_py() if "entry" in t.column_names else None
+        if "entry" in t.column_names:
+            if whole is None:
+                return _rows_of(t, [*keys, at], entry=[None] * len(elements))
+            *state, eta, info = _unpacked(whole, ENTRY)
+        else:
+            first = next((v for v in t["first"].to_pylist() if v is not None), None)
+            if first is None:
+                return _rows_of(t, [*keys, at], entry=[None] * len(elements))
+            state, eta, info = _start(np.array(first)), np.zeros(_V), np.zeros(_M)
+        states, laters = [], [(eta, info)]
+        for e in elements:
+            states.append(state)
+            state = _after(state, e)
+        for e in reversed(elements[1:]):
+            laters.append(_before(e, laters[-1]))
+        return _rows_of(t, [*keys, at], entry=[_packed((*s, *x)) for s, x in zip(states, reversed(laters))])
+    return run
+
+
+def _part_entries(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Entry of every part of the tracks that have more than one: keys, _part, entry.
+
+    Parts are summarised in parallel; their elements are joined per block of 2,048 parts, blocks are scanned per track
+    (one row per four million frames) and parts inside their block.
+    """
+    def like(df, *more):
+        return ", ".join([*(f"`{n}` {t}" for n, t in df.select(*keys).dtypes), *more])
+    other = rows.filter(F.col("_part") > 0).select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)]).distinct()
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_o{i}"))
+    long = rows.join(other, same, "left_semi").select(*keys, "_part", "frame_idx", "zx", "zy")
+    typed = "first array<double>, element array<double>"
+    parts = cut(grouped(long, [*keys, "_part"]).applyInArrow(_element_rows(keys), like(rows, "_part bigint", typed))
+                .withColumn("_block", F.floor(F.col("_part") / BLOCK).cast("long")))
+    blocks = parts.groupBy(*keys, "_block").applyInArrow(_joined_rows(keys), like(rows, "_block bigint", typed))
+    whole = blocks.groupBy(*keys).applyInArrow(_entry_rows(keys, "_block"), like(rows, "_block bigint", "entry array<double>"))
+    w = whole.withColumnsRenamed({k: f"_o{i}" for i, k in enumerate(keys)} | {"_block": "_b"})
+    inside = parts.join(w, same & (F.col("_block") == F.col("_b"))).select(*keys, "_block", "_part", "element", "entry")
+    return inside.groupBy(*keys, "_block").applyInArrow(_entry_rows(keys, "_part"), like(rows, "_part bigint", "entry array<double>"))
+
+
+def _positions(t: pa.Table) -> np.ndarray:
+    return np.column_stack([t["zx"].to_numpy(), t["zy"].to_numpy()]).astype(float)
+
+
 def _with_columns(t: pa.Table, **cols) -> pa.Table:
     """Append columns (NaN becomes null) and keep the rows the part owns."""
     for name, values in cols.items():
@@ -56,18 +206,29 @@ def _with_columns(t: pa.Table, **cols) -> pa.Table:
     return t.filter(t["_own"])
 
 
-def _smooth_group(t: pa.Table) -> pa.Table:
+def _smooth_part(t: pa.Table, entries: pa.Table) -> pa.Table:
+    """One part from its exact entry; a track of a single part starts at its first detection."""
     t = t.sort_by("frame_idx")
-    z = np.column_stack([t["zx"].to_numpy(), t["zy"].to_numpy()]).astype(float)
-    s = np.full(z.shape, np.nan) if np.isnan(z[:, 0]).all() else _smooth_axes(z)
-    return _with_columns(t, sx=s[:, 0], sy=s[:, 1])
+    z, later = _positions(t), None
+    state = None
+    if entries.num_rows:
+        entry = entries["entry"][0].as_py()
+        if entry is not None:
+            *state, eta, info = _unpacked(entry, ENTRY)
+            later = (eta, info)
+    elif not np.isnan(z[:, 0]).all():
+        state = _start(z[~np.isnan(z[:, 0])][0])
+    s = np.full(z.shape, np.nan) if state is None else _smooth_axes(z, *state, later)
+    for name, values in (("sx", s[:, 0]), ("sy", s[:, 1])):
+        t = t.append_column(name, pa.array(values, from_pandas=True))
+    return t
 
 
 def clean_tracks(tracks: DataFrame, keys: Sequence[str] = T.TRACK) -> DataFrame:
     """Cleaned centre per frame with provenance: cx, cy, imputed, rejected, raw_cx, raw_cy.
 
-    Tracks longer than 2,048 frames are smoothed in parts with 256 frames of overlap; shorter ones
-    - every shot window - are smoothed whole.
+    Tracks longer than 2,048 frames are smoothed in parts, each from its exact entry state and with what all later
+    detections say about its last one, so the parts do not show; shorter ones - every shot window - are smoothed whole.
     """
     keys = list(keys)
     r = S.reject_spikes(tracks, keys)
@@ -76,9 +237,10 @@ def clean_tracks(tracks: DataFrame, keys: Sequence[str] = T.TRACK) -> DataFrame:
     r = r.select(*keys, "frame_idx", "rejected", "trusted", "ball_x", "ball_conf", "rim_w",
                  B.center_x("ball").alias("raw_cx"), B.center_y("ball").alias("raw_cy"))
     r = r.withColumn("zx", F.when(kept, F.col("raw_cx"))).withColumn("zy", F.when(kept, F.col("raw_cy")))
-    h = ordered.with_halo(r, "frame_idx", PART, HALO)
-    typed = ", ".join(f"{n} {t}" for n, t in h.dtypes) + ", sx double, sy double"
-    s = grouped(h, [*keys, "_part"]).applyInArrow(_smooth_group, typed)
+    h = cut(r.withColumn("_part", F.floor(F.col("frame_idx") / F.lit(PART)).cast("long")))
+    typed = ", ".join(f"`{n}` {t}" for n, t in h.dtypes) + ", sx double, sy double"
+    of = [*keys, "_part"]
+    s = grouped(h, of).cogroup(_part_entries(h, keys).groupBy(*of)).applyInArrow(_smooth_part, typed)
     show = kept | F.col("trusted")
     return s.select(*keys, "frame_idx", "rejected", "trusted", "ball_x", "ball_conf", "rim_w", "raw_cx",
                     "raw_cy", F.when(show, F.col("sx")).alias("cx"),

@@ -96,17 +96,50 @@ def test_cleaning_keeps_short_gaps_and_drops_spikes(spark):
 
 def test_smoothing_in_parts_equals_whole(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    rows = [(1, 1, "FL", i + 1, float(100 + 3 * i + rng.normal(0, 4)), float(300 + 50 * np.sin(i / 15)),
-             20.0, 20.0, 0.9, 300.0, 200.0, 80.0, 40.0, 0.9) for i in range(900)]
+    gaps = [range(300, 500), range(900, 1400), range(2100, 3100), range(3900, 4100)]
+    rows = []
+    for play, n in ((1, 6000), (2, 40), (3, 700)):
+        for i in range(n):
+            x, y = float(100 + (3 * i) % 900 / 3 + rng.normal(0, 4)), float(300 + 50 * np.sin(i / 15))
+            seen = (play == 1 and i >= 20 and not any(i in g for g in gaps)) or play == 2
+            rows.append((1, play, "FL", i, *((x, y, 20.0, 20.0, 0.9) if seen else (None,) * 5), 300.0, 200.0, 80.0, 40.0, 0.9))
     cols = "game_id int, play_id int, angle string, frame_idx long, " + ", ".join(
         f"{p}_{c} double" for p in ("ball", "rim") for c in ("x", "y", "w", "h", "conf"))
     df = spark.createDataFrame(rows, cols)
-    whole = {r.frame_idx: (r.cx, r.cy) for r in C.clean_tracks(df).collect()}
-    monkeypatch.setattr(C, "PART", 300)
-    monkeypatch.setattr(C, "HALO", 128)
-    parts = {r.frame_idx: (r.cx, r.cy) for r in C.clean_tracks(df).collect()}
-    assert whole.keys() == parts.keys()
-    assert max(abs(a - b) for f in whole for a, b in zip(whole[f], parts[f])) < 1e-6
+
+    def cleaned(part, block):
+        monkeypatch.setattr(C, "PART", part)
+        monkeypatch.setattr(C, "BLOCK", block)
+        return {(r.play_id, r.frame_idx): (r.cx, r.cy) for r in C.clean_tracks(df).collect()}
+    whole = cleaned(10_000, 10)
+    assert len(whole) == len(rows) and sum(v[0] is not None for v in whole.values()) > 3000
+    for part, block in ((64, 5), (512, 2), (2048, 2048)):
+        parts = cleaned(part, block)
+        assert whole.keys() == parts.keys()
+        assert all((a is None) == (b is None) for f in whole for a, b in zip(whole[f], parts[f]))
+        assert max(abs(a - b) for f in whole for a, b in zip(whole[f], parts[f]) if a is not None) < 1e-9, part
+
+
+@pytest.mark.parametrize("part", [1, 7, 64])
+def test_elements_hold_gaps_and_late_starts(part):
+    rng = np.random.default_rng(part)
+    z = np.cumsum(rng.normal(0, 3, (160, 2)), axis=0) + 500
+    z[:9] = z[30:70] = z[100:103] = z[150:] = np.nan
+    state = C._start(z[9])
+    want = C._smooth_axes(z, *state)
+    runs = [z[i:i + part] for i in range(0, len(z), part)]
+    elements = [C._element(r) for r in runs]
+    laters = [(np.zeros((2, 3)), np.zeros((2, 3, 3)))]
+    for e in reversed(elements[1:]):
+        laters.insert(0, C._before(e, laters[0]))
+    got = []
+    for r, e, later in zip(runs, elements, laters):
+        got.append(C._smooth_axes(r, *state, later))
+        state = C._after(state, e)
+    assert np.allclose(np.concatenate(got), want, atol=1e-6, rtol=0)
+    pair = C._joined(C._joined(elements[0], elements[1]), elements[2])
+    once = C._element(z[:3 * part])
+    assert all(np.allclose(a, b, rtol=1e-6, atol=1e-6) for a, b in zip(pair, once))
 
 
 def test_exact_parabola_and_robust_fit(spark):
